@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm import cooccurrence, frequency, groups
+from tagloom.llm import cooccurrence, frequency, groups, packing
+from tagloom.llm.tokenizer import Tokenizer
+from tagloom.session import Scratch
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +63,33 @@ def p4_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _terms(spark, sf_dir)
 
 
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return Tokenizer().encode(docs, "text").select("doc_id", "ids")
+
+
+def p7_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts put together again from their ids."""
+    return p7_ids(spark, sf_dir).select("doc_id", Tokenizer().decode(F.col("ids")).alias("text"))
+
+
+def _packed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[tuple[int, int]]]:
+    # pack_capacities is a fixed table of three rows
+    capacities = [(r["capacity_id"], r["capacity_tokens"]) for r in table(spark, sf_dir, "pack_capacities").orderBy("capacity_id").collect()]
+    sizes = Scratch(spark, "p8").put(p7_ids(spark, sf_dir).select("doc_id", F.size("ids").alias("n_tokens")))
+    return packing.pack(sizes, "doc_id", "n_tokens", capacities), capacities
+
+
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The container of each document (and piece of one larger than the capacity) for each capacity."""
+    return _packed(spark, sf_dir)[0]
+
+
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers, tokens and filled share of each capacity."""
+    return packing.fill(*_packed(spark, sf_dir))
+
+
 _LINKS = """select distinct media_id, tag_id from media_tags where media_id is not null and tag_id is not null"""
 _P1 = f"""with l as ({_LINKS}), n as (select tag_id, count(*) as n from l group by 1), t as (select count(distinct media_id) as t from l),
 p as (select x.tag_id as tag_a, y.tag_id as tag_b, count(*) as n_both from l x join l y on x.media_id = y.media_id and x.tag_id < y.tag_id group by 1, 2 having count(*) >= 5)
@@ -83,6 +112,10 @@ QUERIES = {
     "p3_group_sizes": p3_group_sizes,
     "p4_found": p4_found,
     "p4_terms": p4_terms,
+    "p7_ids": p7_ids,
+    "p7_decoded": p7_decoded,
+    "p8_containers": p8_containers,
+    "p8_fill": p8_fill,
 }
 ORACLE = {
     "p1_found": _P1 + "select tag_a, tag_b from p join n a on a.tag_id = tag_a join n b on b.tag_id = tag_b, t where n_both * t >= 5 * a.n * b.n",
@@ -90,5 +123,6 @@ ORACLE = {
     "p3_found": _P3 + "select signal_id, group_id from g",
     "p3_group_sizes": _P3 + "select group_id, count(*) as n_signals from g group by 1",
     "p4_found": _P4 + "select field_name, term, mark from m where mark is not null",
+    "p7_decoded": "select doc_id, coalesce(text, '') as text from documents",
     "p4_terms": _P4 + "select field_name, term, n_rows, n_records, mark from m",
 }
