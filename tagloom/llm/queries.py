@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.llm import cooccurrence, frequency, groups, packing
+from tagloom.llm.sentences import sentences
 from tagloom.llm.tokenizer import Tokenizer
 from tagloom.session import Scratch
 
@@ -90,6 +91,17 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill(*_packed(spark, sf_dir))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences(table(spark, sf_dir, "documents"), "doc_id", "text", "lang")
+
+
+def p9_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each sentence with its text."""
+    docs = table(spark, sf_dir, "documents")
+    found = p9_found(spark, sf_dir).join(docs.select("doc_id", "text"), "doc_id")
+    return found.select("doc_id", "sent_start", "sent_end", F.substring("text", F.col("sent_start") + 1, F.col("sent_end") - F.col("sent_start")).alias("sentence"))
+
+
 _LINKS = """select distinct media_id, tag_id from media_tags where media_id is not null and tag_id is not null"""
 _P1 = f"""with l as ({_LINKS}), n as (select tag_id, count(*) as n from l group by 1), t as (select count(distinct media_id) as t from l),
 p as (select x.tag_id as tag_a, y.tag_id as tag_b, count(*) as n_both from l x join l y on x.media_id = y.media_id and x.tag_id < y.tag_id group by 1, 2 having count(*) >= 5)
@@ -116,6 +128,8 @@ QUERIES = {
     "p7_decoded": p7_decoded,
     "p8_containers": p8_containers,
     "p8_fill": p8_fill,
+    "p9_found": p9_found,
+    "p9_texts": p9_texts,
 }
 ORACLE = {
     "p1_found": _P1 + "select tag_a, tag_b from p join n a on a.tag_id = tag_a join n b on b.tag_id = tag_b, t where n_both * t >= 5 * a.n * b.n",
