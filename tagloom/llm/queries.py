@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm import cooccurrence, frequency, groups, packing
+from tagloom.llm import cooccurrence, frequency, groups, lookalikes, packing
 from tagloom.llm.sentences import sentences
 from tagloom.llm.tokenizer import Tokenizer
 from tagloom.session import Scratch
@@ -64,6 +64,22 @@ def p4_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _terms(spark, sf_dir)
 
 
+def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = table(spark, sf_dir, "source_assertions").select(F.lit("raw_input").alias("field_name"), "id", F.col("raw_input").alias("text"))
+    shown = table(spark, sf_dir, "signals").select(F.lit("display_value").alias("field_name"), "id", F.col("display_value").alias("text"))
+    return raw.unionByName(shown)
+
+
+def p5_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every name with the one form of all names that look like it."""
+    names = _names(spark, sf_dir)
+    return lookalikes.forms(names, "text", lookalikes.train(names, "text"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalikes.same_looking_pairs(Scratch(spark, "p5").put(p5_forms(spark, sf_dir)))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return Tokenizer().encode(docs, "text").select("doc_id", "ids")
@@ -124,6 +140,8 @@ QUERIES = {
     "p3_group_sizes": p3_group_sizes,
     "p4_found": p4_found,
     "p4_terms": p4_terms,
+    "p5_forms": p5_forms,
+    "p5_found": p5_found,
     "p7_ids": p7_ids,
     "p7_decoded": p7_decoded,
     "p8_containers": p8_containers,
