@@ -1,8 +1,7 @@
 """Parent-child links to full hierarchies by tree contraction.
 
-Forward, each round rakes all leaves (drops them, noting their parent and distance) and then splices an independent set of
-unary nodes out of their chains (a node goes if its hash is below those of its parent and only child), noting parent, child and
-distance. Only edges of a node to itself, contracted circles, survive. Backward, the recorded contractions are undone in
+Forward, each round rakes leaves (drops them, noting their parent and distance) and splices an independent set of
+unary nodes out of their chains, noting parent, child and distance. Only edges of a node to itself, contracted circles, survive. Backward, the recorded contractions are undone in
 reverse order, so each node gets its root, depth and path from a node resolved before it. Both directions touch a shrinking
 share of the nodes per round; every round is written to the shared folder.
 
@@ -13,7 +12,7 @@ the top or, below a circle, at the circle's node; an empty table gives an empty
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.session import Scratch, salted_join
@@ -39,46 +38,42 @@ def _edges(nodes: DataFrame, hot_rows: int) -> DataFrame:
     return salted_join(nodes.filter("parent is not null"), known, "parent", "node", "inner", hot_rows).select("node", "parent")
 
 
-def _priority(node: str | Column, turn: int) -> Column:
-    return F.xxhash64(node, F.lit(turn))
+def _turn(edges: DataFrame, turn: int, with_path: bool) -> DataFrame:
+    """One round of contraction: rows with fate 'keep' are the edges left, 'rake' and 'splice' the records.
 
-
-def _contract(edges: DataFrame, turn: int, with_path: bool) -> DataFrame:
-    """Marks each edge of a round with its fate: rake, splice (with its only child) or keep."""
-    loop = F.col("node") == F.col("parent")
-    kids = edges.groupBy(F.col("parent").alias("node")).agg(F.count("*").alias("kids"))
-    leafy = edges.join(kids, "node", "left").withColumn("leaf", F.col("kids").isNull())
-    inner = leafy.filter(~F.col("leaf")).groupBy(F.col("parent").alias("node")).agg(F.count("*").alias("inner_kids"), F.max("node").alias("child"))
-    marked = leafy.join(inner, "node", "left")
-    mine, up, down = _priority("node", turn), _priority("parent", turn), _priority("child", turn)
+    A node with one child and a parent is spliced if its hash is below both of theirs, so no two neighbours are; its child takes over its
+    edge. Leaves are raked unless they have just done so. Every record's parent and child thus outlast the round.
+    """
+    mine, up, down = (F.xxhash64(c, F.lit(turn)) for c in ("node", "parent", "child"))
     below = lambda other, name: (mine < other) | ((mine == other) & (F.col("node") < F.col(name)))
-    splice = ~loop & (F.col("inner_kids") == 1) & below(up, "parent") & below(down, "child")
-    fate = F.when(F.col("leaf"), "rake").when(F.coalesce(splice, F.lit(False)), "splice").otherwise("keep")
-    return marked.select("node", "parent", "steps", "least_id", *["mid"] * with_path, "child", fate.alias("fate"))
-
-
-def _spliced(marked: DataFrame, with_path: bool) -> DataFrame:
-    """The edges left after a round: kept nodes, those above whom a node went take over its edge."""
-    gone = marked.filter("fate = 'splice'").select(
+    kids = edges.groupBy(F.col("parent").alias("node")).agg(F.count("*").alias("kids"), F.max("node").alias("child"))
+    splice = (F.col("node") != F.col("parent")) & (F.col("kids") == 1) & below(up, "parent") & below(down, "child")
+    marked = edges.join(kids, "node", "left").withColumn("splice", F.coalesce(splice, F.lit(False)))
+    gone = marked.filter("splice").select(
         F.col("child").alias("node"), F.col("node").alias("g"), F.col("parent").alias("g_parent"), F.col("steps").alias("g_steps"), F.col("least_id").alias("g_least"), *[F.col("mid").alias("g_mid")] * with_path
     )
-    kept = marked.filter("fate = 'keep'").drop("fate", "child").join(gone, "node", "left")
+    joined = marked.join(gone, "node", "left")
     out = [
         F.col("node"),
         F.coalesce("g_parent", "parent").alias("parent"),
         (F.col("steps") + F.coalesce("g_steps", F.lit(0))).alias("steps"),
         F.least("least_id", "g", "g_least").alias("least_id"),
+        F.when(F.col("splice"), F.col("child")).alias("child"),
+        F.when(F.col("splice"), "splice").when(F.col("kids").isNull() & F.col("g").isNull(), "rake").otherwise("keep").alias("fate"),
     ]
     if with_path:
         out.append(F.when(F.col("g").isNull(), F.col("mid")).otherwise(F.concat("g_mid", F.array("g"), "mid")).alias("mid"))
-    return kept.select(*out)
+    return joined.select(*out)
 
 
-def _resolve(scratch: Scratch, known: DataFrame, records: DataFrame, with_path: bool, hot_rows: int) -> DataFrame:
-    """Results of the recorded nodes from those of the nodes they were recorded against; a parent without a result is a top."""
-    sizes = records.groupBy("parent").agg(F.count("*").alias("n_rows"))
+def _resolve(known: DataFrame, records: DataFrame, with_path: bool, hot_rows: int | None) -> DataFrame:
+    """Results of a round's records from those of the nodes they were recorded against; a parent without a result is a top."""
     parents = known.select(F.col("node").alias("parent"), F.col("root").alias("p_root"), F.col("depth").alias("p_depth"), *[F.col("path").alias("p_path")] * with_path)
-    joined = salted_join(records, sizes.join(parents, "parent"), "parent", "node", "left", hot_rows)
+    if hot_rows is None:
+        joined = records.join(parents, "parent", "left")
+    else:
+        sizes = records.groupBy("parent").agg(F.count("*").alias("n_rows"))
+        joined = salted_join(records, sizes.join(parents, "parent"), "parent", "node", "left", hot_rows)
     joined = joined.join(known.filter("depth = -1").select(F.col("node").alias("child"), F.col("root").alias("c_root")), "child", "left")
     on_circle, under = F.col("c_root").isNotNull(), F.col("p_depth") < 0
     out = [
@@ -89,7 +84,7 @@ def _resolve(scratch: Scratch, known: DataFrame, records: DataFrame, with_path:
     if with_path:
         path = F.when(on_circle, F.array("node")).otherwise(F.concat(F.coalesce("p_path", F.array("parent")), "mid", F.array("node")))
         out.append(path.alias("path"))
-    return scratch.put(joined.select(*out))
+    return joined.select(*out)
 
 
 def hierarchy(rows: DataFrame, node: str = "id", parent: str = "parent_id", version: str | None = None, with_path: bool = False, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -101,21 +96,20 @@ def hierarchy(rows: DataFrame, node: str = "id", parent: str = "parent_id", vers
         edges = edges.withColumn("mid", F.slice(F.array("node"), 1, 0))
     edges = scratch.put(edges)
     scratch.drop(nodes)
+    widest = edges.groupBy("parent").count().agg(F.max("count")).first()[0] or 0
+    salt_above = hot_rows if widest > hot_rows else None  # a contraction never gives a node more children
     turns: list[DataFrame] = []
     while not edges.filter("node <> parent").isEmpty():
-        marked = scratch.put(_contract(edges, len(turns), with_path))
-        scratch.drop(edges)
-        edges = scratch.put(_spliced(marked, with_path))
+        marked = scratch.put(_turn(edges, len(turns), with_path))
         turns.append(marked)
+        edges = marked.filter("fate = 'keep'").drop("fate", "child")
     core = edges.select("node", F.least("node", "least_id").alias("root"), F.lit(-1).alias("depth"), *[F.array("node").alias("path")] * with_path)
-    known = core
+    paths = [scratch.write(core)]
     for marked in reversed(turns):
-        for fate in ("splice", "rake"):
-            records = marked.filter(F.col("fate") == fate)
-            if fate == "rake":
-                records = records.withColumn("child", F.lit(None).cast(records.schema["node"].dataType))
-            known = known.unionByName(_resolve(scratch, known, records, with_path, hot_rows))
-    return known
+        known = scratch.read(paths, core)
+        paths.append(scratch.write(_resolve(known, marked.filter("fate <> 'keep'"), with_path, salt_above)))
+        scratch.drop(marked)
+    return scratch.read(paths, core)
 
 
 def with_tops(found: DataFrame, rows: DataFrame, node: str = "id") -> DataFrame:

@@ -91,8 +91,9 @@ class Scratch:
         writer.parquet(path)
         return path
 
-    def read(self, path: str, like: DataFrame) -> DataFrame:
-        return self.spark.read.schema(like.schema).parquet(path)
+    def read(self, path: str | list[str], like: DataFrame) -> DataFrame:
+        """One scan over one or more written tables of the same columns."""
+        return self.spark.read.schema(like.schema).parquet(*([path] if isinstance(path, str) else path))
 
     def put(self, df: DataFrame) -> DataFrame:
         out = self.read(path := self.write(df), df)
