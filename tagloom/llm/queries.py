@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm import cooccurrence, frequency, groups, lookalikes, packing
+from tagloom.llm import cooccurrence, frequency, groups, lookalikes, packing, variants
 from tagloom.llm.sentences import sentences
 from tagloom.llm.tokenizer import Tokenizer
 from tagloom.session import Scratch
@@ -80,6 +80,17 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalikes.same_looking_pairs(Scratch(spark, "p5").put(p5_forms(spark, sf_dir)))
 
 
+def p6_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every canonical_name_key that is a name, with the entity it belongs to."""
+    rows = table(spark, sf_dir, "source_assertions").select("canonical_name_key", "raw_input")
+    model = lookalikes.train(rows, "raw_input")
+    return variants.link_keys(rows, "canonical_name_key", "raw_input", table(spark, sf_dir, "given_nicknames"), model)
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.entity_pairs(Scratch(spark, "p6").put(p6_entities(spark, sf_dir)))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return Tokenizer().encode(docs, "text").select("doc_id", "ids")
@@ -142,6 +153,8 @@ QUERIES = {
     "p4_terms": p4_terms,
     "p5_forms": p5_forms,
     "p5_found": p5_found,
+    "p6_entities": p6_entities,
+    "p6_found": p6_found,
     "p7_ids": p7_ids,
     "p7_decoded": p7_decoded,
     "p8_containers": p8_containers,
