@@ -2,30 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.library import Library, oracle
 from tagloom.operators import stats as S
+from tagloom.plans.registry import registry
 
-QUERIES: dict = {}
-ORACLE: dict = {}
-
-
-def query(name: str, sql: str | None, *ctes: str, recursive: bool = False):
-    """Registers a function of a Library as a query."""
-
-    def register(fn):
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return fn(Library(spark, sf_dir))
-
-        run.__doc__ = fn.__doc__
-        QUERIES[name] = run
-        if sql is not None:
-            ORACLE[name] = oracle(sql, *ctes, recursive=recursive)
-        return fn
-
-    return register
+QUERIES, ORACLE, query = registry()
 
 
 _ASKED = "harbor_lantern"
@@ -487,11 +469,11 @@ def _(lib):
     return lib.media.filter("rating = 'safe'").join(manual, lib.media["id"] == manual["media_id"], "left_semi").join(strong, lib.media["id"] == strong["media_id"], "left_semi").select("id")
 
 
-@query("g04_tags_lost", "select tag_id from e where media_id % 2 = 0 except select tag_id from e where media_id % 2 = 1")
+@query("g04_tags_lost", "select tag_id from e where source = 'manual' except select tag_id from e where source = 'ai_wd'")
 def _(lib):
-    """Tags only even media have; which half a medium is in only serves to make two sets."""
-    even = F.col("media_id") % 2 == 0
-    return lib.edges.groupBy("tag_id").agg(F.bool_and(even).alias("only")).filter("only").select("tag_id")
+    """Tags given by hand that the tagger never gives."""
+    by = lambda s: lib.edges.filter(F.col("source") == s).select("tag_id").distinct()
+    return by("manual").join(by("ai_wd"), "tag_id", "left_anti")
 
 
 @query("g05_covered_tags", "select name from t where name in (select canonical_name from tag_translations) intersect select name from t where id in (select tag_id from e)")
