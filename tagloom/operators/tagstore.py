@@ -154,3 +154,17 @@ def reparent(media: DataFrame, changes: DataFrame) -> DataFrame:
         F.when(F.col("new_parent").isNull(), None).when(F.col("id") == F.col("new_parent"), "self").when(F.col("known").isNull(), "missing").when(F.col("is_child"), "parent_is_child").when(F.col("has_kids"), "has_children")
     )
     return joined.select("id", "new_parent", reason.alias("reason"))
+
+
+def create_entities(existing: DataFrame, incoming: DataFrame) -> DataFrame:
+    """New entities (entity_type, normalized_key, name), one per type and key, those that exist left out."""
+    return insert_absent(existing, incoming, ["entity_type", "normalized_key"])
+
+
+def decide_candidates(candidates: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(candidates with their new status, assignments of the accepted ones). decisions: (media_id, entity_id, role, accept)."""
+    key = ["media_id", "entity_id", "role"]
+    joined = candidates.join(decisions, key, "left")
+    status = F.when(F.col("accept"), "accepted").when(~F.col("accept"), "rejected").otherwise(F.col("status"))
+    done = joined.withColumn("status", status).drop("accept")
+    return done, done.filter("status = 'accepted'").select(*key, F.lit("confirmed").alias("status"), F.lit("manual").alias("source"), F.lit(None).cast("bigint").alias("evidence_id"), F.lit(True).alias("locked"))

@@ -129,3 +129,34 @@ class Cached:
             df = make()
             df.write.mode("overwrite").parquet(path)
             return self.spark.read.schema(df.schema).parquet(path)
+
+
+def image_size(files: DataFrame) -> DataFrame:
+    """(path, kind, width, height) of PNG, GIF and JPEG files from their first bytes; null for other or broken ones. files: (path, content)."""
+    import struct
+
+    import pandas as pd
+
+    def measure(data: bytes | None) -> tuple[str | None, int | None, int | None]:
+        if not data:
+            return None, None, None
+        if data[:8] == b"\x89PNG\r\n\x1a\n" and len(data) >= 24:
+            return ("png", *struct.unpack(">II", data[16:24]))
+        if data[:6] in (b"GIF87a", b"GIF89a") and len(data) >= 10:
+            return ("gif", *struct.unpack("<HH", data[6:10]))
+        if data[:2] == b"\xff\xd8":
+            at = 2
+            while at + 9 < len(data) and data[at] == 0xFF:
+                mark, size = data[at + 1], struct.unpack(">H", data[at + 2 : at + 4])[0]
+                if 0xC0 <= mark <= 0xCF and mark not in (0xC4, 0xC8, 0xCC):
+                    height, width = struct.unpack(">HH", data[at + 5 : at + 9])
+                    return "jpeg", width, height
+                at += 2 + size
+        return None, None, None
+
+    def batches(frames):
+        for frame in frames:
+            found = [measure(c) for c in frame["content"]]
+            yield pd.DataFrame({"path": frame["path"], "kind": [f[0] for f in found], "width": pd.array([f[1] for f in found], "Int32"), "height": pd.array([f[2] for f in found], "Int32")})
+
+    return files.select("path", "content").mapInPandas(batches, "path string, kind string, width int, height int")
