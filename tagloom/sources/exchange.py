@@ -68,7 +68,7 @@ def restore_albums(albums: DataFrame, links: DataFrame, edges: DataFrame, target
 
 
 def scan(spark: SparkSession, folder: str) -> DataFrame:
-    """Files below a folder: path, size, time; contents are never read."""
+    """Files below a folder: path, size, time; contents are never read. Spark itself leaves out empty files."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "length", "modificationTime")
 
 
