@@ -1,6 +1,7 @@
 """Core operators on hand-made rows."""
 
 import itertools
+import os
 import random
 
 import pandas as pd
@@ -293,9 +294,10 @@ def test_a19_a20_a21_dictionary_cache_report(spark, tmp_path):
 def test_streaming_late_rows_are_dropped(spark, tmp_path):
     from tagloom.streaming import library as st
 
-    for i, rows_ in enumerate([[(1, "2024-01-01 00:10:00")], [(2, "2024-01-02 00:00:00")], [(3, "2024-01-01 00:20:00"), (4, "2024-01-03 00:00:00")]]):
+    for i, rows_ in enumerate([[(1, "2024-01-01 00:10:00")], [(2, "2024-01-02 00:00:00")], [(5, "2024-01-02 00:30:00")], [(3, "2024-01-01 00:20:00"), (4, "2024-01-03 00:00:00")]]):
         pd.DataFrame([(e, pd.Timestamp(t), 1, "view", 1.0) for e, t in rows_], columns=["event_id", "ts", "user_id", "event_type", "value"]).astype({"event_type": "object"}).to_parquet(tmp_path / f"{i}.parquet", coerce_timestamps="us", allow_truncated_timestamps=True)
+        os.utime(tmp_path / f"{i}.parquet", (1_700_000_000 + 60 * i,) * 2)  # the stream takes files in order of time
     stream = spark.readStream.schema("event_id long, ts timestamp_ntz, user_id long, event_type string, value double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path))
     stream = stream.withColumn("ts", F.col("ts").cast("timestamp"))
     got = st.run_available(st.windowed_counts(stream, "1 hour", late="1 hour"), "late")
-    assert sorted(r["n"] for r in got.collect()) == [1, 1]
+    assert sorted(r["n"] for r in got.collect()) == [1, 2]  # event 3 came after its window was closed
