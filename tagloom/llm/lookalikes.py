@@ -218,7 +218,7 @@ def same_looking_pairs(rows: DataFrame, hot_rows: int = 50_000) -> DataFrame:
     Only forms with several texts are joined. A form with more than ``hot_rows`` rows is split: its rows are salted on one side and repeated
     per salt on the other.
     """
-    rows = rows.filter("form is not null and id is not null")
+    rows = rows.select("field_name", "id", "text", "form").filter("form is not null and id is not null").distinct()
     variants = rows.groupBy("field_name", "form", "text").agg(F.count("*").alias("n"))
     groups = variants.groupBy("field_name", "form").agg(F.count("*").alias("texts"), F.sum("n").alias("n")).filter("texts > 1")
     groups = groups.select("field_name", "form", F.ceil(F.col("n") / hot_rows).cast("int").alias("salts"))
