@@ -1,8 +1,8 @@
 """Byte-level BPE of a public tokenizer as Spark expressions.
 
 A text is cut into words by the tokenizer's pattern. A word becomes its bytes, one character (U+0000 to U+00FF) each, and ranked
-merges are folded over them with higher-order functions: each step joins the leftmost pair of lowest rank and looks up only
-the two pairs that this makes. Ranks are a literal, hashed into small maps by crc32, so a look-up reads a few entries.
+merges are folded over their ids with higher-order functions: each step joins the leftmost pair of lowest rank, whose rank is the new id, and looks
+up only the two pairs that this makes. Ranks are a literal perfect-hash map, so a look-up reads two array slots.
 
 The most frequent ``KNOWN_WORDS`` distinct words of the whole corpus are folded once and become a second literal of the same kind; any other word is
 folded where it stands. That bound only decides where a word is folded, the ids are the same. So the texts are never shuffled, only
@@ -43,25 +43,77 @@ def load_ranks(file: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
-def _hashed(entries: dict[str, object], kind: str) -> "Lookup":
-    size = 1 << max(0, (len(entries) - 1).bit_length() - 1)
-    maps: list[dict] = [{} for _ in range(size)]
-    for key, value in entries.items():
-        maps[zlib.crc32(key.encode()) % size][key] = value
-    return Lookup(json.dumps(maps, separators=(",", ":")), f"array<map<string,{kind}>>", size)
-
-
-class Lookup:
-    """A literal map from string, spread over buckets; Spark scans a map's keys one by one, so the maps are kept small."""
-
-    def __init__(self, text: str, kind: str, size: int):
-        self.literal, self.size = F.from_json(F.lit(text), kind), size
+@lru_cache(maxsize=4)
+def load_merges(file: str) -> dict[tuple[int, int], int]:
+    """The two entries that each longer entry is merged from, found by running the merges of lower rank over its bytes."""
+    ranks = load_ranks(file)
+    merges: dict[tuple[int, int], int] = {}
+    for piece, rank in ranks.items():
+        if len(piece) == 1:
+            continue
+        parts = [piece[i : i + 1] for i in range(len(piece))]
+        while len(parts) > 2:
+            at = min(range(len(parts) - 1), key=lambda i: ranks.get(parts[i] + parts[i + 1], NONE))
+            if ranks.get(parts[at] + parts[at + 1], NONE) >= rank:
+                break
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        if len(parts) == 2:
+            merges[ranks[parts[0]], ranks[parts[1]]] = rank
+    return merges
+
+
+class Known:
+    """A literal map from word to ids, hashed into small maps by crc32, as Spark scans a map's keys one by one."""
+
+    def __init__(self, words: dict[str, list[int]]):
+        self.size = 1 << max(0, (len(words) - 1).bit_length() - 1)
+        maps: list[dict] = [{} for _ in range(self.size)]
+        for key, value in words.items():
+            maps[zlib.crc32(key.encode()) % self.size][key] = value
+        self.literal = F.from_json(F.lit(json.dumps(maps, separators=(",", ":"))), "array<map<string,array<int>>>")
 
     def __call__(self, key: Column) -> Column:
         bucket = F.element_at(self.literal, (F.crc32(key.cast("binary")) % self.size + 1).cast("int"))
         return F.try_element_at(bucket, key)
 
 
+class Merges:
+    """A literal map from a pair of ids to the id that they merge into, which is also its rank; ``FREE`` or more for other pairs.
+
+    A pair is written (first + 1) << 32 | second << 16 and its entry is pair | id. Every entry has a slot of its own, found by a
+    displacement (hash and displace), so a look-up is two array reads; entry XOR pair is the id for the pair itself and at least FREE for any other.
+    """
+
+    FREE = 1 << 16
+    BUCKETS, SLOTS = 20_011, 75_011  # primes
+
+    def __init__(self, merges: dict[tuple[int, int], int]):
+        groups: dict[int, list[tuple[int, int]]] = {}
+        for (a, b), c in merges.items():
+            pair = (a + 1) << 32 | b << 16
+            groups.setdefault(pair % self.BUCKETS, []).append((pair, c))
+        slots, shifts = [0] * self.SLOTS, [0] * self.BUCKETS
+        for bucket, group in sorted(groups.items(), key=lambda g: -len(g[1])):
+            for shift in range(self.SLOTS):
+                at = [(pair + shift) % self.SLOTS for pair, _ in group]
+                if len(set(at)) == len(at) and not any(slots[i] for i in at):
+                    break
+            else:
+                raise ValueError("the pairs don't fit; raise SLOTS")
+            shifts[bucket] = shift
+            for i, (pair, c) in zip(at, group):
+                slots[i] = pair | c
+        listed = lambda values: F.from_json(F.lit(json.dumps(values, separators=(",", ":"))), "array<bigint>")
+        self.slots, self.shifts = listed(slots), listed(shifts)
+
+    @staticmethod
+    def pair(a: Column, b: Column) -> Column:
+        return (a.cast("bigint") + 1) * (1 << 32) + b.cast("bigint") * (1 << 16)
+
+    def __call__(self, pairs: Column) -> Column:
+        return F.transform(pairs, lambda p: F.get(self.slots, ((p + F.get(self.shifts, (p % self.BUCKETS).cast("int"))) % self.SLOTS).cast("int")).bitwiseXOR(p))
+
+
 def _let(value: Column, body) -> Column:
     """body(value) with the value computed once."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -90,7 +142,10 @@ class Tokenizer:
     def __init__(self, folder: str = FOLDER, name: str = VOCABULARY):
         self.file = str(Path(folder) / name)
         self.ranks = load_ranks(self.file)
-        self.rank = _hashed({k.decode("latin-1"): v for k, v in self.ranks.items()}, "int")
+        if max(self.ranks.values()) >= 1 << 16:
+            raise ValueError("ids must fit in 16 bits")
+        self.merges = Merges(load_merges(self.file))
+        self.byte_ids = F.from_json(F.lit(json.dumps([self.ranks[bytes([b])] for b in range(256)])), "array<int>")
         self.fragment = _fragment_pattern(self.file)
 
     def words(self, text: Column) -> Column:
@@ -98,33 +153,28 @@ class Tokenizer:
 
     def _fold(self, piece: Column) -> Column:
         """Ids of one run of bytes (as characters) by ranked merges."""
-        look = lambda pairs: F.transform(pairs, lambda x: F.coalesce(self.rank(x), F.lit(NONE)))
 
         def step(state: Column, _: Column) -> Column:
-            def merge(at: Column) -> Column:
-                p, r = state["p"], state["r"]
-                return _let(
-                    F.concat(F.element_at(p, at), F.element_at(p, at + 1)),
-                    lambda m: F.struct(
-                        F.concat(F.slice(p, 1, at - 1), F.array(m), F.slice(p, at + 2, F.size(p))).alias("p"),
-                        F.concat(
-                            F.slice(r, 1, F.greatest(at - 2, F.lit(0))),
-                            look(F.concat(F.transform(F.slice(p, F.greatest(at - 1, F.lit(1)), F.when(at > 1, 1).otherwise(0)), lambda x: F.concat(x, m)), F.transform(F.slice(p, at + 2, 1), lambda x: F.concat(m, x)))),
-                            F.slice(r, at + 2, F.size(p)),
-                        ).alias("r"),
-                    ),
+            p, r = state["p"], state["r"]
+
+            def merge(at: Column, new: Column) -> Column:
+                left = F.transform(F.slice(p, F.greatest(at - 1, F.lit(1)), F.when(at > 1, 1).otherwise(0)), lambda x: self.merges.pair(x, new))
+                right = F.transform(F.slice(p, at + 2, 1), lambda x: self.merges.pair(new, x))
+                return F.struct(
+                    F.concat(F.slice(p, 1, at - 1), F.array(new), F.slice(p, at + 2, F.size(p))).alias("p"),
+                    F.concat(F.slice(r, 1, F.greatest(at - 2, F.lit(0))), self.merges(F.concat(left, right)), F.slice(r, at + 2, F.size(p))).alias("r"),
                 )
 
-            lowest = F.array_min(state["r"])
-            return F.when(lowest < NONE, merge(F.array_position(state["r"], lowest).cast("int"))).otherwise(state)
+            # the lowest rank is the id that the pair merges into
+            return _let(F.array_min(r), lambda low: F.when(low < self.merges.FREE, _let(F.array_position(r, low).cast("int"), lambda at: merge(at, low.cast("int")))).otherwise(state))
 
         def run(p: Column) -> Column:
-            pairs = F.transform(F.sequence(F.lit(1), F.size(p) - 1), lambda i: F.concat(F.element_at(p, i), F.element_at(p, i + 1)))
-            start = F.struct(p.alias("p"), look(pairs).alias("r"))
-            return F.aggregate(F.sequence(F.lit(2), F.size(p)), start, step, lambda s: look(s["p"]))
+            pairs = F.transform(F.sequence(F.lit(1), F.size(p) - 1), lambda i: self.merges.pair(F.get(p, i - 1), F.get(p, i)))
+            start = F.struct(p.alias("p"), self.merges(pairs).alias("r"))
+            return F.aggregate(F.sequence(F.lit(2), F.size(p)), start, step, lambda s: s["p"])
 
-        split = F.filter(F.split(piece, ""), lambda x: x != "")
-        return F.coalesce(F.transform(F.array(self.rank(piece)), lambda x: F.when(x.isNotNull(), F.array(x)))[0], _let(split, lambda p: F.when(F.size(p) > 1, run(p)).otherwise(look(p))))
+        ids = F.transform(F.filter(F.split(piece, ""), lambda x: x != ""), lambda c: F.get(self.byte_ids, F.ascii(c)))
+        return _let(ids, lambda p: F.when(F.size(p) > 1, run(p)).otherwise(p))
 
     def encode_word(self, word: Column) -> Column:
         """Ids of one word, folded."""
@@ -132,13 +182,13 @@ class Tokenizer:
         pieces = F.regexp_extract_all(data, F.lit(self.fragment), F.lit(0))
         return F.flatten(F.transform(pieces, self._fold))
 
-    def known_words(self, docs: DataFrame, text: str, limit: int = KNOWN_WORDS) -> Lookup | None:
+    def known_words(self, docs: DataFrame, text: str, limit: int = KNOWN_WORDS) -> Known | None:
         """The literal of the most frequent distinct words, counted over all texts, each folded once."""
         each = docs.select(F.explode(self.words(F.col(text))).alias("word"))
         top = each.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(limit)
         spread = max(1, min(64, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "64"))))
         ids = top.select("word").repartition(spread).select("word", self.encode_word(F.col("word")).alias("ids")).collect()
-        return _hashed({r["word"]: r["ids"] for r in ids}, "array<int>") if ids else None
+        return Known({r["word"]: r["ids"] for r in ids}) if ids else None
 
     def encode(self, docs: DataFrame, text: str, out: str = "ids", limit: int = KNOWN_WORDS) -> DataFrame:
         """Adds the ids of ``text`` to every row."""
