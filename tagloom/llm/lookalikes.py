@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tagloom.session import salted_join
+
 # Characters that look the same in usual fonts; each line is one class, the first member's script comes first.
 CLASSES = """
 A А Α
@@ -221,8 +223,8 @@ def same_looking_pairs(rows: DataFrame, hot_rows: int = 50_000) -> DataFrame:
     rows = rows.select("field_name", "id", "text", "form").filter("form is not null and id is not null").distinct()
     variants = rows.groupBy("field_name", "form", "text").agg(F.count("*").alias("n"))
     groups = variants.groupBy("field_name", "form").agg(F.count("*").alias("texts"), F.sum("n").alias("n")).filter("texts > 1")
-    groups = groups.select("field_name", "form", F.ceil(F.col("n") / hot_rows).cast("int").alias("salts"))
-    mine = rows.join(groups, ["field_name", "form"])
+    groups = groups.select("field_name", "form", F.ceil(F.col("n") / hot_rows).cast("int").alias("salts"), F.col("n").alias("n_rows"))
+    mine = salted_join(rows, groups, ["field_name", "form"], "id", "inner", hot_rows)
     left = mine.select("field_name", "form", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"), F.col("id").alias("id_a"), F.col("text").alias("text_a"))
     right = mine.select("field_name", "form", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("id").alias("id_b"), F.col("text").alias("text_b"))
     pairs = left.join(right, ["field_name", "form", "salt"]).filter("id_a < id_b and text_a <> text_b")
