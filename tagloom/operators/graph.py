@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.operators.hierarchy import hierarchy
-from tagloom.session import Scratch
+from tagloom.session import Scratch, salted_join
 
 #: Passes of implications at most.
 PASSES = 10
@@ -84,11 +84,11 @@ def implied(edges: DataFrame, targets: DataFrame, implied_tags: DataFrame, passe
     return scratch.read(known, kind).filter(F.col("pass") > 0)
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, hot_rows: int = 500_000) -> DataFrame:
     """(node, root) with the smallest node as root, by alternating large-star and small-star steps until nothing moves.
 
     A large star hangs a node's larger neighbours under its smallest one, a small star the smaller ones; both keep components and
-    work by groups that a combiner has halved. edges: (a, b) of one type; loops and nulls are dropped.
+    hubs are salted by their counted size. edges: (a, b) of one type; loops and nulls are dropped.
     """
     scratch = Scratch(edges.sparkSession, "stars")
     pairs = edges.select("a", "b").filter("a is not null and b is not null and a <> b")
@@ -96,10 +96,10 @@ def components(edges: DataFrame) -> DataFrame:
     nodes = scratch.put(now.select(F.col("u").alias("node")).union(now.select("v")).distinct())
     while True:
         both = now.select("u", "v").union(now.select("v", "u")).toDF("u", "v")
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n_rows")).select("u", F.least("u", "m").alias("m"), "n_rows")
+        large = salted_join(both, low, "u", "v", hot_rows=hot_rows).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n_rows"))
+        small = salted_join(large, low, "u", "v", hot_rows=hot_rows)
         small = small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         then = scratch.put(small)
         same = then.join(now, ["u", "v"], "left_anti").isEmpty() and now.join(then, ["u", "v"], "left_anti").isEmpty()

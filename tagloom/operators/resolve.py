@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tagloom.functions import text as T
 from tagloom.operators import graph
 from tagloom.operators.stats import entropy
-from tagloom.session import Scratch
+from tagloom.session import Scratch, salted_join
 
 BLOCK = 60
 # Trust weights, keys that identify nobody, reasons that forbid a merge.
@@ -196,7 +196,7 @@ def edges(s: DataFrame, block: int = BLOCK) -> DataFrame:
     features = s.select("id", role_group().alias("role_group"), F.coalesce("context", F.lit("no_context")).alias("ctx"), "ai", tier.alias("tier"), "script", "ambiguous", "anchor", F.struct(trust_weight("trust").alias("t"), ~F.col("ai"), "confidence", "id").alias("rank"))
     large = sized.filter((F.col("n") > block) & kind.isin("exact", "context", "identity")).select("block", "id").join(features, "id")
     best = large.groupBy(*part).agg(F.max(F.struct("rank", "id", "anchor")).alias("best"), F.count("*").alias("m")).select(*part, F.col("best.id").alias("best_id"), F.col("best.anchor").alias("best_anchor"), "m")
-    member = large.select(*part, "id").join(best, part)
+    member = salted_join(large.select(*part, "id"), best.withColumn("n_rows", F.col("m")), part, "id")
     inside = member.filter(F.col("m") <= block).select(*part, "id")
     inner = inside.alias("a").join(inside.alias("b"), part).filter("a.id < b.id").select("block", F.col("a.id").alias("l_id"), F.col("b.id").alias("r_id"))
     star = member.filter((F.col("m") > block) & (F.col("id") != F.col("best_id"))).select("block", F.least("id", "best_id").alias("l_id"), F.greatest("id", "best_id").alias("r_id"))

@@ -111,17 +111,19 @@ def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def salted_join(big: DataFrame, unique: DataFrame, key: str, spread: str, how: str = "inner", hot_rows: int = 500_000, size_col: str = "n_rows") -> DataFrame:
+def salted_join(big: DataFrame, unique: DataFrame, key: str | list[str], spread: str, how: str = "inner", hot_rows: int = 500_000, size_col: str = "n_rows") -> DataFrame:
     """Equi-join of a large, skewed frame with one that has each key once and that key's row count in ``size_col``.
 
     Keys with more than ``hot_rows`` rows are split into ceil(rows / hot_rows) salts; there are at most
     total / hot_rows of them, so their list is safely broadcast to choose the salts of the large side.
     Null keys never match; ``how='left'`` keeps their rows.
     """
+    keys = [key] if isinstance(key, str) else key
     salts = F.ceil(F.col(size_col) / F.lit(hot_rows)).cast("int")
-    hot = unique.filter(F.col(size_col) > hot_rows).select(F.col(key).alias("__hot_key"), salts.alias("__salts"))
-    left = big.join(F.broadcast(hot), F.col(key) == F.col("__hot_key"), "left").withColumn(
+    hot = unique.filter(F.col(size_col) > hot_rows).select(*[F.col(k).alias(f"__hot_{i}") for i, k in enumerate(keys)], salts.alias("__salts"))
+    same = [F.col(k) == F.col(f"__hot_{i}") for i, k in enumerate(keys)]
+    left = big.join(F.broadcast(hot), same, "left").withColumn(
         "__salt", F.when(F.col("__salts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(spread), F.col("__salts")).cast("int"))
-    ).drop("__hot_key", "__salts")
+    ).drop("__salts", *[f"__hot_{i}" for i in range(len(keys))])
     right = unique.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.greatest(salts, F.lit(1)) - 1))).drop(size_col)
-    return left.join(right, [key, "__salt"], how).drop("__salt")
+    return left.join(right, [*keys, "__salt"], how).drop("__salt")

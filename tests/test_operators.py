@@ -86,7 +86,7 @@ def test_j05_implications(spark):
 def test_j06_components(spark, seed):
     rnd = random.Random(seed)
     pairs = [(rnd.randint(1, 60), rnd.randint(1, 60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(30)]
-    got = dict(rows(graph.components(spark.createDataFrame(pairs + [(None, 3)], "a long, b long"))))
+    got = dict(rows(graph.components(spark.createDataFrame(pairs + [(None, 3)], "a long, b long"), hot_rows=5)))
     parent = {}
 
     def find(x):
