@@ -13,7 +13,9 @@ white space at either end; texts of any length are read whole; repeated rows eac
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -156,7 +158,8 @@ class Segmenter:
     def _block(self, text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
         body = text[start:end]
         pairs = _pairs(body)
-        cuts, soft, marked, k = [], [], False, 0
+        opens, reach = [o for o, _ in pairs], list(accumulate((c for _, c in pairs), max))
+        cuts, marked = [], False
         for m in _PLACE.finditer(body):
             kind, (a, b) = m.lastgroup, m.span()
             if kind == "mark":
@@ -164,10 +167,9 @@ class Segmenter:
                 nxt = body[b : b + 1]
                 if body[a] == "." and b == a + 1 and nxt and not nxt.isspace() and nxt.isascii() and not nxt.isupper() and nxt not in "\"('":
                     continue  # inside a file name, version, number or address
-            while k < len(pairs) and pairs[k][1] < b - 1:
-                k += 1
-            if any(o < a and b <= c for o, c in _around(pairs, a)):
-                continue
+            before = bisect_left(opens, a)
+            if before and reach[before - 1] >= b:
+                continue  # a pair that opened before closes after
             if kind == "mark":
                 if self.decide(_before(body, a, b), _after(body, b)):
                     cuts.append(b)
@@ -178,7 +180,6 @@ class Segmenter:
                 cuts.append(b)
             else:
                 cuts.append(a)
-                soft.append(a)
         if not marked:  # no closing marks: line ends end the units
             cuts = sorted({*cuts, *(m.start() for m in re.finditer(r"\n|\r", body))})
         last = 0
@@ -223,19 +224,8 @@ def _pairs(body: str) -> list[tuple[int, int]]:
     return found
 
 
-def _around(pairs: list[tuple[int, int]], a: int) -> Iterator[tuple[int, int]]:
-    """The pairs that open before a; long blocks have few open at once, so the search runs backwards over a bounded stretch of openings."""
-    from bisect import bisect_left
-
-    n = bisect_left(pairs, (a, 0))
-    for i in range(n - 1, max(-1, n - 9), -1):
-        yield pairs[i]
-
-
 def _own_closers(body: str, a: int, b: int, pairs: list[tuple[int, int]]) -> int:
     """Takes back closers that open something instead (a straight quote or “ that starts the next sentence)."""
-    from bisect import bisect_left
-
     for i in range(a, b):
         if body[i] in '"“«':
             n = bisect_left(pairs, (i, 0))
