@@ -72,3 +72,18 @@ def run_available(stream: DataFrame, label: str, mode: str = "append") -> DataFr
 
     stream.writeStream.outputMode(mode).option("checkpointLocation", f"{scratch.root}/state").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
     return scratch.read(written, stream) if written else spark.createDataFrame([], stream.schema)
+
+
+class Refreshed:
+    """A slowly changing table for the static side of a stream: made again after ``seconds``, else kept (L10)."""
+
+    def __init__(self, make, seconds: float = 300, clock=None):
+        import time
+
+        self.make, self.seconds, self.clock = make, seconds, clock or time.monotonic
+        self.made_at, self.value = None, None
+
+    def get(self) -> DataFrame:
+        if self.made_at is None or self.clock() - self.made_at >= self.seconds:
+            self.value, self.made_at = self.make(), self.clock()
+        return self.value
