@@ -166,7 +166,7 @@ def select(lib: Library, query: L.Query, now: datetime, rating: str | None = Non
 
 def order(query: L.Query, default: str = "id_desc") -> list[Column]:
     """The order of a query; nulls where PostgreSQL puts them, the id last so that pages are stable."""
-    asked = [i.value for k in ("order", "sort") for i in query.meta.get(k, [])]
+    asked = [i.value for i in query.meta.get("order") or query.meta.get("sort") or []]  # order before sort, the last one counts
     name = asked[-1] if asked else default
     by_id = F.col("id").desc()
     aspect = F.try_divide(F.col("width").cast("double"), F.col("height"))

@@ -80,7 +80,9 @@ def test_b22_bad_number_raises(spark):
 
 
 def test_f03_last_order_wins(spark):
-    assert str(S.order(L.parse("order:id sort:md5"))) != str(S.order(L.parse("sort:md5 order:id")))
+    shown = lambda q: str(S.order(L.parse(q)))
+    assert shown("sort:md5 order:id") == shown("order:id sort:md5") == shown("order:id")
+    assert shown("order:id order:md5") == shown("sort:md5") != shown("order:id")
 
 
 def test_b25_listing_with_unknown_limit_is_empty(spark):
