@@ -69,11 +69,9 @@ def _turn(edges: DataFrame, turn: int, with_path: bool) -> DataFrame:
 def _resolve(known: DataFrame, records: DataFrame, with_path: bool, hot_rows: int | None) -> DataFrame:
     """Results of a round's records from those of the nodes they were recorded against; a parent without a result is a top."""
     parents = known.select(F.col("node").alias("parent"), F.col("root").alias("p_root"), F.col("depth").alias("p_depth"), *[F.col("path").alias("p_path")] * with_path)
-    if hot_rows is None:
-        joined = records.join(parents, "parent", "left")
-    else:
-        sizes = records.groupBy("parent").agg(F.count("*").alias("n_rows"))
-        joined = salted_join(records, sizes.join(parents, "parent"), "parent", "node", "left", hot_rows)
+    if hot_rows is not None:
+        parents = records.groupBy("parent").agg(F.count("*").alias("n_rows")).join(parents, "parent")
+    joined = salted_join(records, parents, "parent", "node", "left", hot_rows)
     joined = joined.join(known.filter("depth = -1").select(F.col("node").alias("child"), F.col("root").alias("c_root")), "child", "left")
     on_circle, under = F.col("c_root").isNotNull(), F.col("p_depth") < 0
     out = [

@@ -111,14 +111,17 @@ def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def salted_join(big: DataFrame, unique: DataFrame, key: str | list[str], spread: str, how: str = "inner", hot_rows: int = 500_000, size_col: str = "n_rows") -> DataFrame:
+def salted_join(big: DataFrame, unique: DataFrame, key: str | list[str], spread: str, how: str = "inner", hot_rows: int | None = 500_000, size_col: str = "n_rows") -> DataFrame:
     """Equi-join of a large, skewed frame with one that has each key once and that key's row count in ``size_col``.
 
     Keys with more than ``hot_rows`` rows are split into ceil(rows / hot_rows) salts; there are at most
     total / hot_rows of them, so their list is safely broadcast to choose the salts of the large side.
-    Null keys never match; ``how='left'`` keeps their rows.
+    Null keys never match; ``how='left'`` keeps their rows. ``hot_rows=None`` says that no key can be hot (the
+    whole frame is smaller than the limit), which leaves a plain join.
     """
     keys = [key] if isinstance(key, str) else key
+    if hot_rows is None:
+        return big.join(unique.drop(size_col), keys, how)
     salts = F.ceil(F.col(size_col) / F.lit(hot_rows)).cast("int")
     hot = unique.filter(F.col(size_col) > hot_rows).select(*[F.col(k).alias(f"__hot_{i}") for i, k in enumerate(keys)], salts.alias("__salts"))
     same = [F.col(k) == F.col(f"__hot_{i}") for i, k in enumerate(keys)]
