@@ -13,13 +13,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.session import Scratch, salted_join
+from tagloom.session import Scratch, salted_join, small_enough
 
 #: Rows of one key beyond which a join splits the key into salts.
 HOT_ROWS = 500_000
 
 
-def _flatten(scratch: Scratch, parents: DataFrame, hot_rows: int) -> DataFrame:
+def _flatten(scratch: Scratch, parents: DataFrame, hot_rows: int | None) -> DataFrame:
     """Pointer jumping until every node points at its root. parents: (node, parent), parent <= node."""
     while True:
         sizes = parents.groupBy(F.col("parent").alias("mid")).agg(F.count("*").alias("n_rows"))
@@ -37,6 +37,8 @@ def _flatten(scratch: Scratch, parents: DataFrame, hot_rows: int) -> DataFrame:
 def connected(edges: DataFrame, scratch: Scratch, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(node, label) of every node of ``edges`` (u, v): label is the smallest node of its component."""
     edges = scratch.put(edges.filter("u <> v").select(F.least("u", "v").alias("v"), F.greatest("u", "v").alias("u")).distinct())
+    if small_enough(edges, hot_rows // 2):  # then no key of the joins below, not even that of one giant group, has more rows than the limit
+        hot_rows = None
     levels: list[DataFrame] = []
     while not edges.isEmpty():
         both = edges.select(F.col("u").alias("node"), F.col("v").alias("other")).unionByName(edges.select(F.col("v").alias("node"), F.col("u").alias("other")))
