@@ -211,6 +211,7 @@ def test_p6_points():
     assert p("B. Durpugal") == [("i", "b", "durpugal")] == p("Durpugal B")
     assert p("Dr. Dovovin Gonlérrer (illust.)") == p("dovovin_gonlerrer_official") == p("DovovinGonlerrer")
     assert p("The Mankarkul Circle Co.") == p("Mankarkul Crcl.") == p("MankarkulCircle") == [("m", "mankarkul", "#circle")]
+    assert p("T. Мендарлол") == p("Т. Мендарлол") == [("i", "т", "мендарлол")] and p("Т. Durpugal") == [("i", "t", "durpugal")]
     assert ("n", "zomy", "zomupo") in p('Zomupo "Zomy" Timullol') and p("amber500users入り") == [] == p(None) == p("")
     assert {x[1] for x in p("ゼカバフ・イツミさん")} >= {"ゼカバフイツミ", "イツミゼカバフ"}
 
