@@ -119,6 +119,11 @@ def unit_keys(assertions: DataFrame) -> DataFrame:
     return assertions.filter("raw_input is not null").groupBy(stripped.alias("unit"), "provider", F.col("asserted_role").alias("role")).agg(F.count("*").alias("occurrences"), (F.count("*") - 1).alias("calls_avoided"), F.min("id").alias("first_id"))
 
 
+def unit_summary(units: DataFrame) -> DataFrame:
+    """Per role: units, rows, saved calls and rows a unit."""
+    return units.groupBy("role").agg(F.count("*").alias("units"), F.sum("occurrences").alias("occurrences"), F.sum("calls_avoided").alias("calls_avoided"), F.round(F.avg("occurrences"), 4).alias("mean"))
+
+
 def hints(assertions: DataFrame) -> DataFrame:
     """Deterministic candidates of each text with fixed confidences: counters split, rejections, bracket parts, plain names."""
     p, q = T.popularity(F.col("raw_input")), T.parenthetical(F.col("raw_input"))

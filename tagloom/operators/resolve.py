@@ -132,6 +132,12 @@ def blocks(s: DataFrame) -> DataFrame:
     return usable(s).select(F.explode(F.array_compact(keys)).alias("block"), "id")
 
 
+def block_sizes(keys: DataFrame) -> DataFrame:
+    """Per kind of block: blocks, rows and the largest block."""
+    n = keys.groupBy("block").agg(F.count("*").alias("n"))
+    return n.groupBy(F.substring_index("block", ":", 1).alias("kind")).agg(F.count("*").alias("n_blocks"), F.sum("n").alias("n_rows"), F.max("n").alias("largest"))
+
+
 def _side(s: DataFrame, p: str) -> DataFrame:
     cols = ["surface", "canonical", "role", "context", "trust", "provider", "media_id", "record_id", "confidence", "script", "ai", "ambiguous", "anchor", "alias", "strength", "origin_type"]
     return s.select(F.col("id").alias(f"{p}_id"), *[F.col(c).alias(f"{p}_{c}") for c in cols])

@@ -288,10 +288,16 @@ _UNIT = "coalesce(case when regexp_matches(raw_input, '^.*[0-9]{2,6}users入り$
 
 @query("k44_extraction_units", f"select {_UNIT} as unit, provider, asserted_role as role, count(*) as occurrences, count(*) - 1 as calls_avoided, min(id) as first_id from source_assertions where raw_input is not null and regexp_matches(raw_input, '^[ -~]*$') group by 1, 2, 3")
 def _(lib):
-    """Units of the texts in ASCII, whose lower case is the same in both engines."""
+    """Units of the texts in ASCII only, whose lower case is the same in both engines; k44_all_units has all texts."""
     return V.unit_keys(lib.raw("source_assertions").filter(F.col("raw_input").rlike("^[ -~]*$")))
 
 
+@query("k44_all_units")
+def _(lib):
+    """Units of all texts, whatever their script."""
+    return V.unit_keys(lib.raw("source_assertions"))
+
+
 @query("k45_best_candidates", "select canonical_name_key, id, score from (select canonical_name_key, id, round(coalesce(confidence_score, 0) + case when status = 'searchable_active' then 0.05 else 0 end, 6) as score, row_number() over (partition by canonical_name_key order by round(coalesce(confidence_score, 0) + case when status = 'searchable_active' then 0.05 else 0 end, 6) desc, id) as r from source_assertions where canonical_name_key <> '') where r = 1")
 def _(lib):
     rows = lib.raw("source_assertions").filter("canonical_name_key <> ''").withColumn("confidence", F.round(F.coalesce("confidence_score", F.lit(0.0)) + F.when(F.col("status") == "searchable_active", 0.05).otherwise(0.0), 6))
@@ -300,5 +306,10 @@ def _(lib):
 
 @query("k46_extraction_summary", f"select role, count(*) as units, cast(sum(n) as bigint) as occurrences, cast(sum(n - 1) as bigint) as calls_avoided, round(avg(n), 4) as mean from (select {_UNIT} as unit, provider, asserted_role as role, count(*) as n from source_assertions where raw_input is not null and regexp_matches(raw_input, '^[ -~]*$') group by 1, 2, 3) group by 1")
 def _(lib):
-    u = V.unit_keys(lib.raw("source_assertions").filter(F.col("raw_input").rlike("^[ -~]*$")))
-    return u.groupBy("role").agg(F.count("*").alias("units"), F.sum("occurrences").alias("occurrences"), F.sum("calls_avoided").alias("calls_avoided"), F.round(F.avg("occurrences"), 4).alias("mean"))
+    """The summary of k44's texts in ASCII; k46_all_summary has all texts."""
+    return V.unit_summary(V.unit_keys(lib.raw("source_assertions").filter(F.col("raw_input").rlike("^[ -~]*$"))))
+
+
+@query("k46_all_summary")
+def _(lib):
+    return V.unit_summary(V.unit_keys(lib.raw("source_assertions")))

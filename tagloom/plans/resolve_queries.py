@@ -74,11 +74,14 @@ def _ready(lib):
   'context:' || case when role in ('character', 'person') then 'character_person' else role end || ':' || surface || ':work:' || context, 'identity:' || anchor,
   case when role in ('character', 'person', 'unknown') then 'record_context:' || record_id end, case when role in ('character', 'person', 'unknown') then 'media_context:' || media_id end], lambda x: x is not null)) as block from a where coalesce(status, '') <> 'rejected' and coalesce(trust, '') <> 'rejected') group by 1, 2) group by 1""", *_ALL)
 def _(lib):
-    """Sizes of all blocks but the alias ones, whose keys need case folding."""
+    """Sizes of all blocks but the alias ones, whose keys need case folding; k14_all_block_sizes has those too."""
     s = R.with_context(_signals(lib))
-    keys = R.blocks(R.with_anchor(s, R.ambiguity(s)).withColumn("alias", F.lit(None).cast("string")))
-    n = keys.groupBy("block").agg(F.count("*").alias("n"))
-    return n.groupBy(F.substring_index("block", ":", 1).alias("kind")).agg(F.count("*").alias("n_blocks"), F.sum("n").alias("n_rows"), F.max("n").alias("largest"))
+    return R.block_sizes(R.blocks(R.with_anchor(s, R.ambiguity(s)).withColumn("alias", F.lit(None).cast("string"))))
+
+
+@query("k14_all_block_sizes")
+def _(lib):
+    return R.block_sizes(R.blocks(_ready(lib)))
 
 
 @query("k16_edges")
