@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tagloom.functions import text as T
 from tagloom.library import Library
+from tagloom.session import salted_join
 
 #: Fields of a metadata record that name something: field, role, confidence, needs review.
 FIELDS = (("artist_name", "artist", 0.84, False), ("title", "source_title", 0.60, True))
@@ -113,10 +114,13 @@ def purity(members: DataFrame, group: str, label: str) -> DataFrame:
     return c.groupBy(group).agg(F.sum("c").alias("n"), F.count("*").alias("labels"), F.round(F.max("c") / F.sum("c"), 6).alias("purity"))
 
 
+def _unit() -> Column:
+    return F.coalesce(T.popularity(F.col("raw_input"))["prefix"], F.lower(F.trim("raw_input")))
+
+
 def unit_keys(assertions: DataFrame) -> DataFrame:
     """Extraction units: rows that would give the same answer share one; how many calls that saves."""
-    stripped = F.coalesce(T.popularity(F.col("raw_input"))["prefix"], F.lower(F.trim("raw_input")))
-    return assertions.filter("raw_input is not null").groupBy(stripped.alias("unit"), "provider", F.col("asserted_role").alias("role")).agg(F.count("*").alias("occurrences"), (F.count("*") - 1).alias("calls_avoided"), F.min("id").alias("first_id"))
+    return assertions.filter("raw_input is not null").groupBy(_unit().alias("unit"), "provider", F.col("asserted_role").alias("role")).agg(F.count("*").alias("occurrences"), (F.count("*") - 1).alias("calls_avoided"), F.min("id").alias("first_id"))
 
 
 def unit_summary(units: DataFrame) -> DataFrame:
@@ -124,17 +128,33 @@ def unit_summary(units: DataFrame) -> DataFrame:
     return units.groupBy("role").agg(F.count("*").alias("units"), F.sum("occurrences").alias("occurrences"), F.sum("calls_avoided").alias("calls_avoided"), F.round(F.avg("occurrences"), 4).alias("mean"))
 
 
-def hints(assertions: DataFrame) -> DataFrame:
-    """Deterministic candidates of each text with fixed confidences: counters split, rejections, bracket parts, plain names."""
+def _hints() -> Column:
     p, q = T.popularity(F.col("raw_input")), T.parenthetical(F.col("raw_input"))
     why = T.rejection(F.col("raw_input"))
     one = lambda kind, value, conf: F.struct(F.lit(kind).alias("kind"), value.alias("value"), F.lit(conf).alias("confidence"))
-    out = F.array_compact(F.array(
+    return F.array_compact(F.array(
         F.when(p.isNotNull() & (p["prefix"] != ""), one("popularity_prefix", p["prefix"], 0.98)), F.when(why.isNotNull(), one("rejected", F.col("raw_input"), 0.95)),
         F.when(why.isNull() & q["inner"].isNotNull(), one("outer", q["outer"], 0.76)), F.when(why.isNull() & q["inner"].isNotNull(), one("inner", q["inner"], 0.72)),
         F.when(why.isNull() & q["inner"].isNull(), one("name", F.col("raw_input"), 0.78)),
     ))
-    return assertions.select("id", F.explode(out).alias("h")).select("id", "h.*")
+
+
+def hints(assertions: DataFrame) -> DataFrame:
+    """Deterministic candidates of each text with fixed confidences: counters split, rejections, bracket parts, plain names."""
+    return assertions.select("id", F.explode(_hints()).alias("h")).select("id", "h.*")
+
+
+def candidates(assertions: DataFrame, hot_rows: int = 500_000) -> DataFrame:
+    """(assertion_id, record_id, unit, provider, role, kind, value, confidence, occurrences): the hints of each unit's first text, for every assertion of the unit.
+
+    The key of a unit is its JSON, which leaves nulls out, so units without a provider or role meet too; units of many rows are salted.
+    """
+    rows = assertions.filter("raw_input is not null").select(F.col("id").alias("assertion_id"), F.col("source_metadata_record_id").alias("record_id"), "raw_input", _unit().alias("unit"), "provider", F.col("asserted_role").alias("role"))
+    rows = rows.withColumn("key", F.to_json(F.struct("unit", "provider", "role")))
+    units = rows.groupBy("key").agg(F.min(F.struct("assertion_id", "raw_input")).alias("first"), F.count("*").alias("n_rows")).select("key", F.col("first.raw_input").alias("raw_input"), "n_rows")
+    units = units.select("key", _hints().alias("hints"), F.col("n_rows").alias("occurrences"), "n_rows")
+    found = salted_join(rows.drop("raw_input"), units, "key", "assertion_id", hot_rows=hot_rows)
+    return found.select("assertion_id", "record_id", "unit", "provider", "role", F.explode("hints").alias("h"), "occurrences").select("assertion_id", "record_id", "unit", "provider", "role", "h.*", "occurrences")
 
 
 def pair_scores(s: DataFrame, pairs: DataFrame) -> DataFrame:

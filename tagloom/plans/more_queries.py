@@ -169,12 +169,8 @@ def _(lib):
 
 @query("k06_candidates")
 def _(lib):
-    """Texts to units, units to hints, hints back to all rows of their unit."""
-    rows = lib.raw("source_assertions").filter("raw_input is not null")
-    units = V.unit_keys(rows)
-    firsts = rows.join(units.select(F.col("first_id").alias("id"), "unit", "provider", "role", "occurrences"), ["id", "provider"])
-    found = V.hints(firsts.select("id", "raw_input")).join(firsts.select("id", "unit", "role", "occurrences"), "id")
-    return found.select("unit", "role", "kind", "value", "confidence", "occurrences")
+    """Texts to units, units to hints, hints back to all rows of their unit, with assertion and record."""
+    return V.candidates(lib.raw("source_assertions"))
 
 
 @query("l07_sync_plan", "select state, case when state = 'missing' then 95 when state = 'changed' then 10 when state = 'new' then 5 when state = 'unchanged' then 30 else 35 end as priority, case when state in ('new', 'changed') then 'pending' when state = 'missing' then 'blocked' else 'done' end as import_status, count(*) as n from df group by 1, 2, 3", flow_queries._SNAP, flow_queries._DIFF.format("missing"))

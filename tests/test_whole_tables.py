@@ -4,7 +4,7 @@ import re
 from collections import defaultdict
 
 import __spark_entry__
-from tagloom.operators import resolve
+from tagloom.operators import evidence, resolve
 
 
 def rows(df):
@@ -60,3 +60,14 @@ def test_k14_has_alias_blocks(spark, tmp_path):
     data = [signal(1, "new_name_here", raw="Old Name Here", origin="source_alias_candidate"), signal(2, "old_name_here"), signal(3, "other_name_here")]
     got = run(spark, tmp_path, "k14_all_block_sizes", signals=(data, SIGNALS))
     assert {tuple(r) for r in got.select("kind", "n_blocks", "n_rows", "largest").collect()} >= {("alias", 1, 2, 2), ("exact", 3, 3, 1)}
+
+
+def test_k06_gives_every_assertion_its_candidates(spark, tmp_path):
+    got = run(spark, tmp_path, "k06_candidates", source_assertions=(TEXTS, ASSERTED))
+    first = {r["id"]: [] for r in spark.createDataFrame(TEXTS, ASSERTED).collect()}
+    for i, *hint in rows(evidence.hints(spark.createDataFrame(TEXTS, ASSERTED).filter("raw_input is not null"))):
+        first[i].append(tuple(hint))
+    want = [(i, record, *key, *hint, len(members)) for key, members in units().items() for i, record, _ in members for hint in first[min(members)[0]]]
+    assert {r["assertion_id"] for r in got.collect()} == {t[0] for t in TEXTS if t[4] is not None}
+    assert rows(got) == sorted(want, key=repr)
+    assert rows(evidence.candidates(spark.createDataFrame(TEXTS, ASSERTED), hot_rows=1)) == rows(got)
