@@ -189,8 +189,8 @@ def pair_rule(cooccurrence: Column) -> Column:
     )
 
 
-def edges(s: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(l_id, r_id, edge_type, weight, status, union_allowed, reason, negative): the best edge of each pair and type over all blocks."""
+def _block_pairs(s: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """((block, l_id, r_id, across) of the pairs that each block compares, (block, n) of its signals)."""
     keys = blocks(s)
     sizes = keys.groupBy("block").agg(F.count("*").alias("n")).filter("n > 1")
     sized = keys.join(sizes, "block")
@@ -210,9 +210,18 @@ def edges(s: DataFrame, block: int = BLOCK) -> DataFrame:
     lead = best.filter("best_anchor is not null").select("block", "best_id", "best_anchor")
     first = lead.groupBy("block", "best_anchor").agg(F.min("best_id").alias("first"))
     across = lead.join(first, ["block", "best_anchor"]).filter("first < best_id").select("block", F.col("first").alias("l_id"), F.col("best_id").alias("r_id"), F.lit(True).alias("across"))
-    wanted = pairs.unionByName(inner).unionByName(star).withColumn("across", F.lit(False)).unionByName(across)
-    wanted = wanted.groupBy("l_id", "r_id").agg(F.bool_or(kind.isin("record_context", "media_context")).alias("cooccur"), F.bool_and("across").alias("across"))
-    joined = wanted.join(_side(s, "l"), "l_id").join(_side(s, "r"), "r_id")
+    return pairs.unionByName(inner).unionByName(star).withColumn("across", F.lit(False)).unionByName(across), sizes
+
+
+def candidate_pairs(s: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(l_id, r_id, cooccur, across) of every pair that a block compares, before any rule."""
+    kind = F.substring_index("block", ":", 1)
+    return _block_pairs(s, block)[0].groupBy("l_id", "r_id").agg(F.bool_or(kind.isin("record_context", "media_context")).alias("cooccur"), F.bool_and("across").alias("across"))
+
+
+def edges(s: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(l_id, r_id, edge_type, weight, status, union_allowed, reason, negative): the best edge of each pair and type over all blocks."""
+    joined = candidate_pairs(s, block).join(_side(s, "l"), "l_id").join(_side(s, "r"), "r_id")
     found = joined.select("l_id", "r_id", "across", pair_rule(F.col("cooccur")).alias("e")).filter("e is not null").select("l_id", "r_id", "across", "e.*")
     return found.filter("not across or (status = 'active' and union_allowed)").drop("across")
 
@@ -303,6 +312,28 @@ def dispositions(e: DataFrame, groups: DataFrame) -> DataFrame:
     return joined.select("l_id", "r_id", kind.alias("disposition"))
 
 
+def pair_accounting(candidates: DataFrame, found: DataFrame) -> DataFrame:
+    """One row: candidate pairs, those of each disposition, and pairs without one (unaccounted), with several (duplicates) or outside the candidates (extra)."""
+    kinds = ("must", "cannot", "transitive_cannot", "deferred")
+    per = found.groupBy("l_id", "r_id").agg(F.count("*").alias("n"), *[F.count_if(F.col("disposition") == k).alias(k) for k in kinds])
+    both = candidates.select("l_id", "r_id").distinct().withColumn("wanted", F.lit(True)).join(per, ["l_id", "r_id"], "full")
+    wanted, valid = F.col("wanted").isNotNull(), sum((F.col(k) for k in kinds), F.lit(0))
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    g = both.agg(F.count("wanted").alias("total"), *[zero(F.when(wanted, F.col(k))).alias(k) for k in kinds], F.count_if(wanted & (F.coalesce(valid, F.lit(0)) == 0)).alias("unaccounted"), zero(F.col("n") - 1).alias("duplicates"), F.count_if(~wanted).alias("extra"))
+    coverage = F.when(F.col("total") > 0, F.round((F.col("total") - F.col("unaccounted")) / F.col("total"), 12)).otherwise(1.0)
+    equal = (F.col("total") == sum((F.col(k) for k in kinds), F.lit(0))) & (F.col("duplicates") + F.col("extra") + F.col("unaccounted") == 0)
+    return g.select("*", coverage.alias("coverage"), equal.alias("equality"))
+
+
+def oversized(s: DataFrame, block: int = BLOCK) -> DataFrame:
+    """One row: blocks beyond the bound, their pairs, how many of those are compared and how many are skipped or stood for by a star. A pair counts in each block that holds it, so no block is spread out."""
+    pairs, sizes = _block_pairs(s, block)
+    large = sizes.filter(F.col("n") > block)
+    made = pairs.join(large.select("block"), "block", "left_semi").groupBy("block").agg(F.count("*").alias("made"))
+    all_pairs, compared = F.coalesce(F.sum(F.expr("n * (n - 1) div 2")), F.lit(0)), F.coalesce(F.sum("made"), F.lit(0))
+    return large.join(made, "block", "left").agg(F.count("*").alias("oversized_blocks"), all_pairs.alias("oversized_pairs"), compared.alias("oversized_compared"), (all_pairs - compared).alias("oversized_left_out"))
+
+
 def violations(e: DataFrame, groups: DataFrame) -> DataFrame:
     """Hard negative pairs inside one group; the union must leave none."""
     return dispositions(e, groups).filter("disposition = 'cannot'").join(groups.select(F.col("id").alias("l_id"), F.col("group_id").alias("a")), "l_id").join(groups.select(F.col("id").alias("r_id"), F.col("group_id").alias("b")), "r_id").filter("a = b")

@@ -149,8 +149,7 @@ def _(lib):
 
 @query("d32_pair_accounting")
 def _(lib):
-    """Pairs by disposition, and how many of all blocked pairs none accounts for."""
-    _, e, g = R.resolved(lib.raw("signals"), Scratch(lib.spark, "d32"))
-    d = R.dispositions(e, g)
-    pairs = e.select("l_id", "r_id").distinct().join(d, ["l_id", "r_id"], "full")
-    return pairs.groupBy(F.coalesce("disposition", F.lit("unaccounted")).alias("disposition")).agg(F.count("*").alias("n"))
+    """Dispositions against the candidate pairs of all blocks, taken before any rule (total to equality), and the pairs of oversized blocks that were never candidates."""
+    scratch = Scratch(lib.spark, "d32")
+    s, e, g = R.resolved(lib.raw("signals"), scratch)
+    return R.pair_accounting(R.candidate_pairs(s), R.dispositions(e, g)).crossJoin(R.oversized(s))

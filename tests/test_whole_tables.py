@@ -71,3 +71,20 @@ def test_k06_gives_every_assertion_its_candidates(spark, tmp_path):
     assert {r["assertion_id"] for r in got.collect()} == {t[0] for t in TEXTS if t[4] is not None}
     assert rows(got) == sorted(want, key=repr)
     assert rows(evidence.candidates(spark.createDataFrame(TEXTS, ASSERTED), hot_rows=1)) == rows(got)
+
+
+def test_d32_accounts_for_candidates_before_the_rules(spark, tmp_path):
+    data = [signal(1, "series_name_here_(x)", role="series"), signal(2, "series_name_here_(y)", role="series"), signal(3, "same_name_here"), signal(4, "same_name_here")]  # no rule holds for 1 and 2
+    data += [signal(100 + i, f"one_of_a_crowd_{i}", media=7) for i in range(resolve.BLOCK + 1)]
+    got = run(spark, tmp_path, "d32_pair_accounting", signals=(data, SIGNALS)).first().asDict()
+    crowd = (resolve.BLOCK + 1) * resolve.BLOCK // 2
+    assert got == dict(total=2, must=1, cannot=0, transitive_cannot=0, deferred=0, unaccounted=1, duplicates=0, extra=0, coverage=0.5, equality=False, oversized_blocks=1, oversized_pairs=crowd, oversized_compared=0, oversized_left_out=crowd)
+
+
+def test_d32_duplicates_and_extra(spark):
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (2, 3)], "l_id long, r_id long")
+    found = spark.createDataFrame([(1, 2, "must"), (1, 2, "cannot"), (1, 3, "deferred"), (8, 9, "must")], "l_id long, r_id long, disposition string")
+    got = resolve.pair_accounting(pairs, found).first().asDict()
+    assert got == dict(total=3, must=1, cannot=1, transitive_cannot=0, deferred=1, unaccounted=1, duplicates=1, extra=1, coverage=round(2 / 3, 12), equality=False)
+    whole = resolve.pair_accounting(pairs, spark.createDataFrame([(1, 2, "must"), (1, 3, "cannot"), (2, 3, "deferred")], "l_id long, r_id long, disposition string")).first()
+    assert whole["coverage"] == 1 and whole["equality"]
