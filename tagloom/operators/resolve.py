@@ -21,6 +21,9 @@ BLOCK = 60
 # Trust weights, keys that identify nobody, reasons that forbid a merge.
 TRUST = {"strong": 1.0, "medium": 0.65, "medium_ai": 0.45, "weak": 0.25, "rejected": 0.0}
 STOP_KEYS = ("original", "unknown", "artist", "character", "girl", "boy", "tagme", "untitled", "unknown_artist", "original_character")
+CONTEXT_STOP_KEYS = ("animal", "bunny", "cheerleading", "clothes", "clothing", "creature", "cup", "flower", "food", "medium", "object", "place", "series", "shape", "sky", "small", "spring", "swimsuit", "symbol", "track")
+#: Most contexts beside its work that a record may declare.
+ALIASES = 12
 HARD = ("role_conflict", "source_title_only_guard", "creator_identity_strong_evidence_missing", "work_context_conflict", "alias_work_context_conflict", "rejected_signal_guard", "generic_identity_surface_guard", "llm_cannot_link")
 
 
@@ -35,6 +38,7 @@ def prepare(signals: DataFrame) -> DataFrame:
         "id", p["outer"].alias("surface"), F.col("normalized_key").alias("canonical"), F.coalesce("role_hint", F.lit("unknown")).alias("role"), F.coalesce("work_context_key", p["inner"]).alias("declared"),
         F.col("trust_tier").alias("trust"), "status", "provider", "media_id", F.col("source_metadata_record_id").alias("record_id"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.coalesce("display_value", F.lit("")).alias("display"),
         T.script_family(F.coalesce("display_value", F.lit(""))).alias("script"), F.coalesce(F.col("trust_tier") == "medium_ai", F.lit(False)).alias("ai"), "origin_type", p["inner"].isNotNull().alias("bracketed"),
+        F.col("work_context_key").alias("work_context"), F.array_compact(F.array(p["inner"], T.parenthetical(F.col("raw_value"))["inner"])).alias("brackets"),
     )
 
 
@@ -71,16 +75,28 @@ def context_sets(s: DataFrame) -> DataFrame:
     return rows.groupBy("scope", "scope_id").agg(F.sort_array(F.collect_set("declared")).alias("contexts"))
 
 
+def _compact(column: str) -> Column:
+    return F.lower(F.regexp_replace(column, r"(?U)[\W_]+", ""))
+
+
 def context_aliases(s: DataFrame) -> DataFrame:
-    """(context, label): contexts that are the same work. Two contexts of one record are paired; a pair holds if both are equal without separators, or if at
-    least two records of at least two media or providers declare it. The label is the one in Latin script, then the shortest, then the first."""
-    rows = usable(s).filter("declared is not null and record_id is not null").select("record_id", "declared", "media_id", "provider").distinct()
-    sizes = rows.groupBy("record_id").agg(F.count_distinct("declared").alias("k")).filter("k = 2")  # only records of one or two spellings pair anything
-    rows = rows.join(sizes, "record_id").drop("k")
-    pairs = rows.alias("a").join(rows.alias("b"), "record_id").filter("a.declared < b.declared").select("record_id", F.col("a.declared").alias("a"), F.col("b.declared").alias("b"), F.col("a.media_id").alias("media_id"), F.col("a.provider").alias("provider"))
-    support = pairs.groupBy("a", "b").agg(F.count_distinct("record_id").alias("records"), F.greatest(F.count_distinct("media_id"), F.count_distinct("provider")).alias("independent"))
-    bare = lambda c: F.regexp_replace(c, r"[_\s\-]", "")
-    same = support.filter((bare("a") == bare("b")) | ((F.col("records") >= 2) & (F.col("independent") >= 2))).select("a", "b")
+    """(context, label): contexts that are the same work. The only context that a record's work signals name is paired with every other context its names declare,
+    by field or in brackets; a record that declares more than ``ALIASES`` pairs none, as in the reference. A pair holds if both are equal without separators, or if at
+    least two records of at least two media or providers declare it and its other context belongs to one work. The label is the one in Latin script, then the shortest, then the first."""
+    rows, key = usable(s).filter("record_id is not null"), lambda c: F.nullif(T.canonical_key(c), F.lit(""))
+    works = rows.filter("role = 'work'").select("record_id", key(F.coalesce(F.nullif("work_context", F.lit("")), "canonical")).alias("work")).filter("work is not null")
+    works = works.groupBy("record_id").agg(F.min("work").alias("work"), F.max("work").alias("last")).filter("work = last").drop("last")
+    named = rows.filter(F.col("role").isin("character", "person", "unknown")).select("record_id", F.explode(F.array_append("brackets", F.col("work_context"))).alias("c")).select("record_id", key(F.col("c")).alias("declared"))
+    bare, foreign = _compact("declared"), lambda c: F.col(c).rlike(r"[^\x00-\x7f]")
+    named = named.filter((bare != "") & ~bare.isin(*CONTEXT_STOP_KEYS) & (foreign("declared") | F.col("declared").rlike("[_:0-9]") | (F.length(bare) > 8))).distinct()
+    pairs = named.join(works, "record_id").filter("declared <> work")
+    pairs = pairs.join(pairs.groupBy("record_id").agg(F.count("*").alias("k")).filter(F.col("k") <= ALIASES), "record_id").filter(~(foreign("declared") & foreign("work")) | (_compact("work") == bare))
+    clash = pairs.groupBy("declared").agg((F.count_distinct("work") > 1).alias("clash")).filter("clash")
+    units = s.filter("record_id is not null").select("record_id", "media_id", "provider").distinct()
+    support = pairs.join(units, "record_id").groupBy(F.least("work", "declared").alias("a"), F.greatest("work", "declared").alias("b")).agg(F.count_distinct("record_id").alias("records"), F.greatest(F.count_distinct("media_id"), F.count_distinct(F.nullif("provider", F.lit("")))).alias("independent"))
+    of = lambda c: clash.select(F.col("declared").alias(c), F.col("clash").alias(f"{c}_clash"))
+    support = support.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    same = support.filter((_compact("a") == _compact("b")) | ((F.col("records") >= 2) & (F.col("independent") >= 2) & F.col("a_clash").isNull() & F.col("b_clash").isNull())).select("a", "b")
     roots = graph.components(same)
     label = F.min(F.struct((~F.col("node").rlike("[A-Za-z]")).alias("x"), F.length("node").alias("y"), "node"))["node"].alias("label")
     return roots.join(roots.groupBy("root").agg(label), "root").select(F.col("node").alias("context"), "label")

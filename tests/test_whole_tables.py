@@ -88,3 +88,16 @@ def test_d32_duplicates_and_extra(spark):
     assert got == dict(total=3, must=1, cannot=1, transitive_cannot=0, deferred=1, unaccounted=1, duplicates=1, extra=1, coverage=round(2 / 3, 12), equality=False)
     whole = resolve.pair_accounting(pairs, spark.createDataFrame([(1, 2, "must"), (1, 3, "cannot"), (2, 3, "deferred")], "l_id long, r_id long, disposition string")).first()
     assert whole["coverage"] == 1 and whole["equality"]
+
+
+def test_k10_pairs_the_work_with_all_declared_contexts(spark, tmp_path):
+    data = []
+    for r in (1, 2):  # three contexts in a record; one signal has both a field and brackets
+        data += [signal(10 * r, "the_long_work", r, role="work", media=r), signal(10 * r + 1, "ann_(long_work_alt)", r, work="the_long_work", media=r), signal(10 * r + 2, "bob_(other_alias)", r, media=r)]
+    for r, work in ((3, "first_work"), (4, "first_work"), (5, "second_work"), (6, "second_work")):  # a context of two works
+        data += [signal(10 * r, work, r, role="work", media=r), signal(10 * r + 1, "cy_(shared_name)", r, media=r)]
+    data += [signal(70, "sky_harbor_2", 7, role="work"), signal(71, "di_(skyharbor2)", 7), signal(72, "eve_(once_only)", 7), signal(73, "fay_(sky)", 7)]  # equal without separators
+    for r in (8, 9):  # two works
+        data += [signal(10 * r + 100, "third_work", r, role="work", media=r), signal(10 * r + 101, "fourth_work", r, role="work", media=r), signal(10 * r + 102, "gus_(unsure_name)", r, media=r)]
+    got = run(spark, tmp_path, "k10_context_aliases", signals=(data, SIGNALS)).select("context", "label")
+    assert rows(got) == [("long_work_alt", "other_alias"), ("other_alias", "other_alias"), ("sky_harbor_2", "skyharbor2"), ("skyharbor2", "skyharbor2"), ("the_long_work", "other_alias")]
