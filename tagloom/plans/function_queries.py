@@ -148,3 +148,10 @@ def _(lib):
     edges = lib.edges.join(lib.media.filter("rating = 'explicit'").select(F.col("id").alias("media_id")), "media_id", "left_semi").join(lib.tags.select(F.col("id").alias("tag_id"), "name"), "tag_id")
     text = edges.groupBy("media_id").agg(F.array_join(F.sort_array(F.collect_list("name")), " ").alias("tags"))
     return text.select("media_id", F.posexplode(F.split("tags", " ")).alias("pos", "name"))
+
+
+@query("h27_all_tag_strings", "select media_id, pos, name from (select media_id, unnest(list_sort(list(name))) as name, unnest(range(count(*))) as pos from e join t on t.id = tag_id join m on m.id = media_id group by 1)")
+def _(lib):
+    edges = lib.edges.join(lib.media.select(F.col("id").alias("media_id")), "media_id", "left_semi").join(lib.tags.select(F.col("id").alias("tag_id"), "name"), "tag_id")
+    text = edges.groupBy("media_id").agg(F.array_join(F.sort_array(F.collect_list("name")), " ").alias("tags"))
+    return text.select("media_id", F.posexplode(F.split("tags", " ")).alias("pos", "name"))

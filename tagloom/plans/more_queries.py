@@ -183,7 +183,16 @@ def _(lib):
 @query("n_media_detail", "select m.id, p.id as parent, (select list_sort(list(id)) from m k where k.parent_id = m.id) as children, (select count(*) from album_media a where a.media_id = m.id) as n_albums from m left join m p on p.id = m.parent_id where m.rating = 'explicit'")
 def _(lib):
     """Detail of explicit media: parent, children and albums."""
-    hits = lib.media.filter("rating = 'explicit'").select("id", "parent_id")
+    return _detail(lib, lib.media.filter("rating = 'explicit'"))
+
+
+@query("n_all_media_detail", "select m.id, p.id as parent, k.children, coalesce(a.n, 0) as n_albums from m left join m p on p.id = m.parent_id left join (select parent_id, list_sort(list(id)) as children from m group by 1) k on k.parent_id = m.id left join (select media_id, count(*) as n from album_media group by 1) a on a.media_id = m.id")
+def _(lib):
+    return _detail(lib, lib.media)
+
+
+def _detail(lib, media):
+    hits = media.select("id", "parent_id")
     kids = lib.media.filter("parent_id is not null").groupBy(F.col("parent_id").alias("id")).agg(F.sort_array(F.collect_list("id")).alias("children"))
     albums = lib.album_media.groupBy(F.col("media_id").alias("id")).agg(F.count("*").alias("n"))
     parent = lib.media.select(F.col("id").alias("parent_id"), F.col("id").alias("parent"))

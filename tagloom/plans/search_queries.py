@@ -39,6 +39,7 @@ _SEARCHES = {
     "b18_class": ("class:anime -content_class:non_anime class:bogus", {}, "content_class = 'anime' and not content_class = 'non_anime'"),
     "b18_class_none": ("class:none", {}, "content_class is null"),
     "b19_pool_any": ("pool:any id:..500", {}, "id <= 500 and exists (select 1 from album_media a where a.media_id = m.id)"),
+    "b19_all_pool_any": ("pool:any", {}, "exists (select 1 from album_media a where a.media_id = m.id)"),
     "b19_album_named": ("-album:customer#00000001% pool:none", {}, "not exists (select 1 from album_media a join albums b on b.id = a.album_id where a.media_id = m.id and b.name ilike 'customer#00000001%') and not exists (select 1 from album_media a where a.media_id = m.id)"),
     "b20_parent": ("parent:any rating:s", {}, "parent_id is not null and rating = 'safe'"),
     "b20_parent_id": ("parent:1556", {}, "parent_id = 1556 or id = 1556"),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tagloom.operators import stats as S
 from tagloom.plans.registry import registry
+from tagloom.session import salted_join
 
 QUERIES, ORACLE, query = registry()
 
@@ -348,6 +349,14 @@ def _(lib):
     return a.join(b, "parent_id").filter("id < sibling_id").select("id", "sibling_id")
 
 
+@query("c07_all_siblings", "select a.id, b.id as sibling_id from m a join m b on a.parent_id = b.parent_id and a.id < b.id")
+def _(lib):
+    """Every pair of siblings once; children meet their parent's group, which is salted where a parent is hot."""
+    kids = lib.media.filter("parent_id is not null").select("id", "parent_id")
+    groups = kids.groupBy("parent_id").agg(F.collect_list("id").alias("siblings"), F.count("*").alias("n_rows")).filter("n_rows > 1")
+    return salted_join(kids, groups, "parent_id", "id", hot_rows=5_000).select("id", F.explode(F.filter("siblings", lambda x: x > F.col("id"))).alias("sibling_id"))
+
+
 @query("c09_parenthetical_names", "select b.id as base_id, p.id as tag_id from t b join t p on starts_with(p.name, b.name || '_(')")
 def _(lib):
     """name and name_(context): the base is cut off first, so the theta join is an equi-join."""
@@ -361,6 +370,12 @@ def _(lib):
     return edges.join(lib.tags.select(F.col("id").alias("tag_id"), "name"), "tag_id").groupBy("media_id").agg(F.sort_array(F.collect_list("name")).alias("tags"))
 
 
+@query("c12_all_media_with_tags", "select media_id, list_sort(list(name)) as tags from e join t on t.id = tag_id join m on m.id = media_id group by 1")
+def _(lib):
+    edges = lib.edges.join(lib.media.select(F.col("id").alias("media_id")), "media_id", "left_semi")
+    return edges.join(lib.tags.select(F.col("id").alias("tag_id"), "name"), "tag_id").groupBy("media_id").agg(F.sort_array(F.collect_list("name")).alias("tags"))
+
+
 # Windows
 
 
