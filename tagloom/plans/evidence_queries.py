@@ -127,6 +127,14 @@ def _(lib):
     return V.name_index(names, pairs)
 
 
+@query("k05_all_name_index")
+def _(lib):
+    """The index over every alias of the tags."""
+    names = lib.raw("source_assertions").filter("canonical_name_key <> ''").select(F.col("canonical_name_key").alias("name_key")).distinct()
+    pairs = lib.tag_aliases.join(lib.tags.select(F.col("id").alias("target_tag_id"), "name"), "target_tag_id").select(F.col("alias_name").alias("a"), F.col("name").alias("b"))
+    return V.name_index(names, pairs)
+
+
 _K7 = """k7 as (select 'media_tag:' || media_id || ':' || tag_id as signal_key, case when coalesce(trim(lower(e.source)) = 'ai_wd', false) then 'ai_model_tag' else 'normal_media_tag' end as origin_type, name as raw_value, case category when 'artist' then 'artist' when 'copyright' then 'work' else 'character' end as role_hint,
   case when coalesce(trim(lower(e.source)) = 'ai_wd', false) and is_suggestion then 'weak' when coalesce(trim(lower(e.source)) = 'ai_wd', false) then 'medium_ai' else 'strong' end as trust_tier, case when coalesce(trim(lower(e.source)) = 'ai_wd', false) then 'needs_review' else 'active' end as status from e join t on t.id = tag_id where category in ('artist', 'character', 'copyright') or contains(name, '_(')
   union all select 'assertion:' || id, 'source_assertion', raw_input, asserted_role, case when status = 'searchable_active' and asserted_role not in ('unknown', 'source_title') then 'strong' else 'medium' end, case when status = 'rejected' then 'rejected' when asserted_role = 'source_title' then 'needs_review' else 'active' end from source_assertions where trim(raw_input) <> ''

@@ -81,10 +81,20 @@ _REL = "rel as (select alias_name as a, name as b from tag_aliases join t on t.i
 _HOPS = "hops(s, k, h) as (select a, a, 0 from (select distinct a from sym where a like 'alt!_%' escape '!') union select s, b, h + 1 from hops join sym on a = k where h < {})"
 
 
-def _expand(lib, rounds):
+def _relation(lib):
     named = lib.tag_aliases.join(lib.tags.select(F.col("id").alias("target_tag_id"), "name"), "target_tag_id").select(F.col("alias_name").alias("a"), F.col("name").alias("b"))
-    relation = named.union(lib.tag_translations.filter("status <> 'rejected'").select("display_name", "canonical_name"))
+    return named.union(lib.tag_translations.filter("status <> 'rejected'").select("display_name", "canonical_name"))
+
+
+def _expand(lib, rounds):
     start = lib.tag_aliases.filter(F.startswith("alias_name", F.lit("alt_"))).join(lib.tags.select(F.col("id").alias("target_tag_id")), "target_tag_id", "left_semi").select(F.col("alias_name").alias("key")).distinct()
+    return G.expand(start, _relation(lib), rounds)
+
+
+def _expand_all(lib, rounds):
+    """From every key of the relation, whichever side it is on."""
+    relation = _relation(lib)
+    start = relation.select(F.col("a").alias("key")).union(relation.select("b")).filter("key is not null").distinct()
     return G.expand(start, relation, rounds)
 
 
@@ -98,6 +108,16 @@ def _(lib):
     return _expand(lib, 4)
 
 
+@query("j03_all_two_hop_aliases")
+def _(lib):
+    return _expand_all(lib, 2)
+
+
+@query("j04_all_four_round_closure")
+def _(lib):
+    return _expand_all(lib, 4)
+
+
 _PASS = """p{n} as (select * from p{k} union all select distinct f.media_id, i.tag_id, {n} from (select media_id, r.rule_id from p{k} join r on r.tag_id = p{k}.tag_id group by 1, 2 having count(*) = max(wanted)) f
   join implication_implied i on i.rule_id = f.rule_id where not exists (select 1 from p{k} x where x.media_id = f.media_id and x.tag_id = i.tag_id))"""
 

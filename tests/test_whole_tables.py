@@ -7,6 +7,7 @@ from collections import defaultdict
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 from tagloom.operators import evidence, resolve
@@ -121,3 +122,30 @@ def matches(got, name):
         con.execute(f"create view {os.path.basename(path)[:-8]} as select * from '{path}'")
     want = con.execute(__spark_entry__.oracle_sql()[name]).fetchall()
     return want and rows(got) == sorted(map(tuple, want), key=repr)
+
+
+TAGS = ([(30, "bell", "general", 1), (5, "cat", "general", 1), (15, "dog", "general", 1), (4, "eel", "general", 1)], "id long, name string, category string, post_count long")
+
+
+def test_j03_j04_k05_take_all_aliases(spark, tmp_path):
+    data, schema = TAGS
+    spark.createDataFrame(data, schema).withColumn("created_at", F.current_timestamp()).write.parquet(f"{tmp_path}/tags.parquet")
+    aliases = {(f"{p}_{name}", name) for p, n in (("old", 5), ("alt", 15)) for i, name, *_ in data if i % n == 0}
+    pairs = aliases | {(f"zh_{name}", name) for i, name, *_ in data if i % 3 != 2 and i % 9} | {(f"zh2_{name}", name) for i, name, *_ in data if i % 4 == 0}
+    near = defaultdict(set)
+    for a, b in pairs:
+        near[a].add(b)
+        near[b].add(a)
+    for name, rounds in (("j03_all_two_hop_aliases", 2), ("j04_all_four_round_closure", 4)):
+        want = set()
+        for start in near:
+            seen, last = {start: 0}, {start}
+            for n in range(1, rounds + 1):
+                last = {y for x in last for y in near[x]} - set(seen)
+                seen |= dict.fromkeys(last, n)
+            want |= {(start, k, h) for k, h in seen.items()}
+        assert rows(run(spark, tmp_path, name).select("start", "key", "hops")) == sorted(want, key=repr)
+    said = ([("bell",), ("dog",), ("alt_dog",), ("fox",), ("",)], "canonical_name_key string")
+    names = {n for n, in said[0] if n}
+    want = {(n, n, "own") for n in names} | {(x, y, "alias") for a, b in aliases for x, y in ((a, b), (b, a)) if y in names}
+    assert rows(run(spark, tmp_path, "k05_all_name_index", source_assertions=said)) == sorted(want, key=repr)
