@@ -75,7 +75,7 @@ class Engine:
     def posts(self, q: str, page: int = 1, limit: int = 100) -> DataFrame:
         """Posts in the compatible form, with tag strings."""
         query = L.parse(q, self.aliases)
-        return S.posts(S.page(S.select(self.lib, query, self.now), S.order(query), limit, page), self.lib)
+        return S.posts_page(S.page(S.select(self.lib, query, self.now), S.order(query), limit, page), self.lib)
 
     # Media
 

@@ -1,13 +1,23 @@
-"""The tables of a tagged media library, cleaned, as one object that operators take."""
+"""The tables of a tagged media library, cleaned, as one object that operators take.
+
+Media and edges are cleaned once per state of their files and written into the shared folder: media by id, edges once by medium and once by tag, in
+ranges of those keys. Queries read that with their filters and columns pushed into the scan, and row groups outside the ids asked for are skipped.
+"""
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tagloom.session import Scratch, table_state
+
+#: Bytes of the source that one file of a cleaned table stands for, at most and at least.
+FILE_BYTES, LEAST_BYTES = 128 << 20, 1 << 20
+#: Ids that may stand in a filter as literals; more are joined.
+LISTED_IDS = 1_000
 #: What decides between two rows of one (media, tag), best first; also the columns an edge keeps.
 EDGE_COLUMNS = ["updated_at", "created_at", "source", "confidence", "is_locked", "is_suggestion"]
 MEDIA_COLUMNS = [
@@ -16,13 +26,13 @@ MEDIA_COLUMNS = [
 
 
 def latest_media(rows: DataFrame) -> DataFrame:
-    """One row per id, the newest export; a hash aggregate with map-side combine, no window sort."""
+    """One row per id, the newest export. Spark sorts for this aggregate (its buffer holds strings), once for a state of the table."""
     best = F.max(F.struct("exported_at", *MEDIA_COLUMNS)).alias("row")
     return rows.filter("id is not null").groupBy("id").agg(best).select("id", *[F.col(f"row.{c}").alias(c) for c in MEDIA_COLUMNS])
 
 
 def distinct_edges(rows: DataFrame) -> DataFrame:
-    """One row per (media_id, tag_id), the one updated last."""
+    """One row per (media_id, tag_id), the one updated last; sorts, as above."""
     best = F.max(F.struct(*EDGE_COLUMNS)).alias("row")
     kept = rows.filter("media_id is not null and tag_id is not null").groupBy("media_id", "tag_id").agg(best)
     return kept.select("media_id", "tag_id", *[F.col(f"row.{c}").alias(c) for c in EDGE_COLUMNS])
@@ -48,22 +58,59 @@ PROJECTIONS = {
 }
 
 
+class Prepared:
+    """Cleaned tables of one folder and application, written on first use and again when the files they come from change."""
+
+    _all: dict[tuple[str, str], Prepared] = {}
+
+    def __init__(self, spark: SparkSession):
+        self.scratch = Scratch(spark, "library")
+        self.done: dict[str, tuple[str, DataFrame]] = {}  # by name: state of the source, written table
+
+    @classmethod
+    def of(cls, spark: SparkSession, folder: str) -> Prepared:
+        key = (spark.sparkContext.applicationId, folder)
+        if key not in cls._all:
+            cls._all[key] = cls(spark)
+        return cls._all[key]
+
+    def table(self, spark: SparkSession, name: str, source: str, make, *by: str) -> DataFrame:
+        """The table ``make()`` gives, in files that are ranges of the columns ``by``."""
+        state, size = table_state(spark, source)
+        old = self.done.get(name)
+        if old is None or old[0] != state:
+            files = max(1, min(spark.sparkContext.defaultParallelism, size // LEAST_BYTES), -(-size // FILE_BYTES))
+            self.done[name] = (state, self.scratch.put(make().repartitionByRange(files, *by).sortWithinPartitions(*by)))
+            if old is not None:
+                self.scratch.drop(old[1])
+        written = self.done[name][1]
+        return spark.read.schema(written.schema).parquet(written._scratch_path)
+
+
 @dataclass
 class Library:
-    """Cleaned tables; ``tables`` holds the raw ones by name, read on first use."""
+    """Cleaned tables. Raw ones are read by name from ``folder`` on first use; those ``given`` as frames are cleaned where they are used, not written."""
 
     spark: SparkSession
     folder: str
     given: dict[str, DataFrame] = field(default_factory=dict)
 
+    def __post_init__(self):
+        self.framed = set(self.given)
+
     def raw(self, name: str) -> DataFrame:
         if name not in self.given:
             self.given[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
         return self.given[name]
 
+    def _clean(self, name: str, source: str, make, *by: str) -> DataFrame:
+        if source in self.framed:
+            return make()
+        return Prepared.of(self.spark, self.folder).table(self.spark, name, f"{self.folder}/{source}.parquet", make, *by)
+
     @cached_property
     def media(self) -> DataFrame:
-        return latest_media(self.raw("media"))
+        return self._clean("media", "media", lambda: latest_media(self.raw("media")), "id")
 
     @property
     def tags(self) -> DataFrame:
@@ -71,7 +118,26 @@ class Library:
 
     @cached_property
     def edges(self) -> DataFrame:
-        return distinct_edges(self.raw("media_tags"))
+        """Edges in ranges of media_id."""
+        return self._clean("edges", "media_tags", lambda: distinct_edges(self.raw("media_tags")), "media_id", "tag_id")
+
+    @cached_property
+    def edges_by_tag(self) -> DataFrame:
+        """The same edges in ranges of tag_id."""
+        return self._clean("edges_by_tag", "media_tags", lambda: self.edges, "tag_id", "media_id")
+
+    def edges_of(self, chosen: Column, *also: str) -> DataFrame:
+        """(media_id, tag_id, is_suggestion, ...) of the edges of the tags a condition chooses, with the columns ``also`` of those tags.
+
+        Up to ``LISTED_IDS`` ids go into the scan as literals, so that only their row groups are read; more are joined.
+        """
+        tags = self.tags.filter(chosen).select(F.col("id").alias("tag_id"), *also)
+        ids = [r["tag_id"] for r in tags.select("tag_id").limit(LISTED_IDS + 1).collect()]
+        edges = self.edges_by_tag.select("media_id", "tag_id", "is_suggestion")
+        if len(ids) <= LISTED_IDS:
+            edges = edges.filter(F.col("tag_id").isin(ids))
+            return edges.join(F.broadcast(tags), "tag_id") if also else edges
+        return edges.join(tags, "tag_id", "inner" if also else "left_semi")
 
     def __getattr__(self, name: str) -> DataFrame:
         if name not in PROJECTIONS:

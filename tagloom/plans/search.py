@@ -1,7 +1,8 @@
 """Search plans: a parsed query to one DataFrame plan.
 
-Tag terms become semi and anti joins on the edges (all included names in one aggregate), counts are aggregated once for all count
-predicates, and everything on media columns becomes filters that reach the scan. Only the page of a result is ever collected.
+Tag terms become semi and anti joins on the edges of the named tags alone (all included names in one aggregate), counts are aggregated once for
+all count predicates, and everything on media columns becomes filters that reach the scan of the cleaned table. Only the page of a result and
+the ids of named tags are ever collected.
 """
 
 from __future__ import annotations
@@ -33,28 +34,27 @@ def in_range(col: Column, found: L.Range) -> Column:
 def with_all_tags(media: DataFrame, lib: Library, names: list[str]) -> DataFrame:
     """Media that have every named tag, suggestions included; an unknown name leaves nothing."""
     wanted = sorted(set(names))
-    ids = lib.tags.filter(F.lower("name").isin(wanted)).select(F.col("id").alias("tag_id"), F.lower("name").alias("name"))
-    full = lib.edges.join(F.broadcast(ids), "tag_id").groupBy("media_id").agg(F.count_distinct("name").alias("n")).filter(F.col("n") == len(wanted))
+    named = lib.edges_of(F.lower("name").isin(wanted), "name")
+    has = [F.bool_or(F.lower("name") == name) for name in wanted]
+    full = named.groupBy("media_id").agg(reduce(Column.__and__, has).alias("all")).filter("all")
     return media.join(full, media["id"] == full["media_id"], "left_semi")
 
 
 def without_tags(media: DataFrame, lib: Library, names: list[str]) -> DataFrame:
     """Media with none of the named tags; unknown names change nothing."""
-    ids = lib.tags.filter(F.lower("name").isin(sorted(set(names)))).select(F.col("id").alias("tag_id"))
-    hit = lib.edges.join(F.broadcast(ids), "tag_id", "left_semi")
+    hit = lib.edges_of(F.lower("name").isin(sorted(set(names))))
     return media.join(hit, media["id"] == hit["media_id"], "left_anti")
 
 
 def by_wildcard(media: DataFrame, lib: Library, pattern: str, negated: bool) -> DataFrame:
     """Media with (or without) a confirmed tag whose name matches."""
-    ids = lib.tags.filter(F.col("name").rlike(L.wildcard(pattern))).select(F.col("id").alias("tag_id"))
-    hit = lib.edges.filter("not is_suggestion").join(ids, "tag_id", "left_semi")
+    hit = lib.edges_of(F.col("name").rlike(L.wildcard(pattern))).filter("not is_suggestion")
     return media.join(hit, media["id"] == hit["media_id"], "left_anti" if negated else "left_semi")
 
 
 def by_counts(media: DataFrame, lib: Library, wanted: dict[str, list[L.Range]]) -> DataFrame:
     """Numbers of confirmed tags, of any or one category; media without any count 0."""
-    used = lib.edges.filter("not is_suggestion").join(lib.tags.select(F.col("id").alias("tag_id"), "category"), "tag_id")
+    used = lib.edges.filter("not is_suggestion").select("media_id", "tag_id").join(lib.tags.select(F.col("id").alias("tag_id"), "category"), "tag_id")
     counts = [F.count_if(F.lit(True) if L.COUNTED[k] is None else F.coalesce(F.col("category") == L.COUNTED[k], F.lit(False))).alias(f"__{k}") for k in wanted]
     per_media = used.groupBy(F.col("media_id").alias("__media")).agg(*counts)
     joined = media.join(per_media, media["id"] == per_media["__media"], "left")
@@ -197,14 +197,25 @@ def page(found: DataFrame, keys: list[Column], limit: int, number: int = 1) -> D
     return ranked.filter(F.col("position") > (number - 1) * limit)
 
 
-def posts(found: DataFrame, lib: Library) -> DataFrame:
-    """Hits with their tags as space-separated strings per category, and parent and children flags."""
-    tagged = lib.edges.join(found.select(F.col("id").alias("media_id")), "media_id", "left_semi").join(lib.tags.select(F.col("id").alias("tag_id"), "name", "category"), "tag_id")
+def posts(found: DataFrame, lib: Library, ids: list[int] | None = None) -> DataFrame:
+    """Hits with their tags as space-separated strings per category, and parent and children flags; ``ids`` are those of the hits where they are known."""
+    edges, kids = lib.edges.select("media_id", "tag_id"), lib.media.filter("parent_id is not null").select(F.col("parent_id").alias("__kid_of"))
+    if ids is None:
+        edges = edges.join(found.select(F.col("id").alias("media_id")), "media_id", "left_semi")
+    else:
+        edges, kids = edges.filter(F.col("media_id").isin(ids)), kids.filter(F.col("__kid_of").isin(ids))
+    tagged = edges.join(lib.tags.select(F.col("id").alias("tag_id"), "name", "category"), "tag_id")
     of = lambda cond: F.concat_ws(" ", F.sort_array(F.collect_list(F.when(cond, F.col("name")))))
     strings = tagged.groupBy(F.col("media_id").alias("__media")).agg(
         of(F.lit(True)).alias("tag_string"), F.count("*").alias("tag_count"), *[of(F.col("category") == c).alias(f"tag_string_{c}") for c in ("general", "artist", "character", "copyright", "meta")]
     )
-    kids = lib.media.filter("parent_id is not null").groupBy(F.col("parent_id").alias("__kid_of")).agg(F.count("*").alias("children"))
+    kids = kids.groupBy("__kid_of").agg(F.count("*").alias("children"))
     out = found.join(strings, found["id"] == strings["__media"], "left").join(kids, found["id"] == kids["__kid_of"], "left").drop("__media", "__kid_of")
     texts = ["tag_string", *(f"tag_string_{c}" for c in ("general", "artist", "character", "copyright", "meta"))]
     return out.withColumns({**{c: F.coalesce(c, F.lit("")) for c in texts}, "tag_count": F.coalesce("tag_count", F.lit(0)), "has_children": F.col("children").isNotNull(), "has_parent": F.col("parent_id").isNotNull()}).drop("children")
+
+
+def posts_page(hits: DataFrame, lib: Library) -> DataFrame:
+    """The posts of one page. Its rows, bounded by the page, become a local table, so the search runs once and only their edges and children are read."""
+    rows = hits.toArrow()
+    return posts(hits.sparkSession.createDataFrame(rows, hits.schema), lib, rows.column("id").to_pylist())

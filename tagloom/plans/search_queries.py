@@ -88,7 +88,7 @@ def entry_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokenizer, wildcard semi join, anti join, ranges, counts, order, page and tag strings in one plan."""
     lib, query = Library(spark, sf_dir), L.parse(_FLAGSHIP)
     hits = S.page(S.select(lib, query, NOW), S.order(query), 50)
-    return S.posts(hits, lib).select("position", "id", "file_size", "tag_count", "tag_string", "tag_string_character", "has_children", "has_parent")
+    return S.posts_page(hits, lib).select("position", "id", "file_size", "tag_count", "tag_string", "tag_string_character", "has_children", "has_parent")
 
 
 def b37_posts(spark: SparkSession, sf_dir: str) -> DataFrame:

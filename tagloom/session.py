@@ -56,6 +56,13 @@ def _path(spark: SparkSession, name: str):
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
 
 
+def table_state(spark: SparkSession, name: str) -> tuple[str, int]:
+    """A mark that changes when the files of a table do, and their bytes; two calls however many files there are."""
+    fs, path = _path(spark, name)
+    total = fs.getContentSummary(path)
+    return f"{total.getLength()}-{total.getFileCount()}-{fs.getFileStatus(path).getModificationTime()}", total.getLength()
+
+
 def drop_table(spark: SparkSession, *paths: str) -> None:
     """Deletes written scratch tables."""
     for name in paths:
