@@ -14,6 +14,24 @@ from pyspark.sql.types import StringType
 SEPARATORS = r"[\s/／・·,，|]+"
 KANA, HANGUL, HAN, LATIN = "぀-ヿ", "가-힯", "一-鿿", "A-Za-z"
 ROLES = {"artist": "artist", "character": "character", "copyright": "work", "series": "work", "person": "person"}
+# What roles, categories, states and grades of sources mean.
+SOURCE_ROLES = {
+    "character": "character", "person": "person", "artist": "artist", "artist_creator": "artist", "creator": "artist", "author": "artist", "work": "work", "work_title": "work", "copyright": "work",
+    "source_title": "source_title", "title": "source_title", "unknown_name": "unknown", "unknown_name_like": "unknown", "unknown": "unknown",
+}
+TAG_CATEGORY_ROLES = {"character": "character", "artist": "artist", "copyright": "work", "4": "character", "1": "artist", "3": "work"}
+SOURCE_TAG_CATEGORY_ROLES = {**TAG_CATEGORY_ROLES, "work": "work", "series": "work"}
+CONCEPT_STATUS = {
+    "active": "active", "active_candidate": "active", "searchable_active": "active", "observed": "active", "accepted": "active", "confirmed": "active",
+    "rejected": "rejected", "superseded": "rejected", "blocked": "rejected", "rejected_candidate": "rejected", "ambiguous": "ambiguous",
+    "needs_review": "needs_review", "requires_review": "needs_review", "candidate": "needs_review", "pending": "needs_review",
+}
+GRADES = {"high": 0.9, "medium": 0.65, "low": 0.35, "none": 0.0}
+# Keys that only describe.
+DESCRIPTIVE_KEYS = (
+    "1girl", "1boy", "solo", "smile", "standing", "sitting", "blue_hair", "long_hair", "short_hair", "breasts", "large_breasts", "water", "swimsuit",
+    "セーラー服", "おなか", "水着", "胸部", "巨乳", "はいてない", "お尻", "ガーターベルト", "メイド", "ウィンク", "少女", "ぱんつ", "スク水", "裸足",
+)
 CATEGORY_CODES = {"general": 0, "artist": 1, "copyright": 3, "character": 4, "meta": 5}
 
 
@@ -65,9 +83,11 @@ def script_hint(column: Column) -> Column:
 
 
 def script_family(column: Column) -> Column:
-    """All scripts of a text, joined with +."""
-    of = lambda chars, name: F.when(column.rlike(f"[{chars}]"), name)
-    return F.concat_ws("+", of(LATIN, "latin"), of(HAN, "cjk"), of(KANA, "kana"), of(HANGUL, "hangul"))
+    """All scripts of a text, joined with +; 'unknown' for null and empty texts, 'other' for texts in none of the scripts."""
+    t = normalize(column)
+    of = lambda chars, name: F.when(t.rlike(f"[{chars}]"), name)
+    found = F.concat_ws("+", of(LATIN, "latin"), of(HAN, "cjk"), of(KANA, "kana"), of(HANGUL, "hangul"))
+    return F.when(t.isNull() | (t == ""), "unknown").when(found == "", "other").otherwise(found)
 
 
 def parenthetical(column: Column) -> Column:
@@ -82,21 +102,28 @@ def search_keys(column: Column) -> Column:
     return F.array_distinct(F.array(column, F.replace(column, F.lit("_"), F.lit(" ")), F.replace(column, F.lit("_("), F.lit("(")), F.substring_index(column, "_(", 1)))
 
 
-def popularity(column: Column) -> Column:
-    """prefix and count of counters such as ``harbor500users入り``; null where there is none."""
-    pattern = r"^(.*?)[ _]*(\d{2,6})users入り$"
-    n = F.regexp_extract(column, pattern, 2)
-    return F.when(n != "", F.struct(F.regexp_extract(column, pattern, 1).alias("prefix"), n.cast("int").alias("users")))
+# Marks of counters.
+COUNTER = "(?:users?入り|users?入|user入り)"
 
 
-#: Plain descriptions and meta words that are no names.
-NO_NAMES = ("original character", "fan art", "wip", "sketch", "commission", "untitled", "unknown artist", "blue hair")
+def popularity(column: Column) -> Column:
+    """prefix and count of counters such as ``harbor500users入り``; null where there is none or no prefix."""
+    t = normalize(column)
+    pattern = rf"(?i)^(.+?)([0-9]+)\s*{COUNTER}$"
+    n = F.regexp_extract(t, pattern, 2)
+    return F.when(n != "", F.struct(normalize(F.regexp_extract(t, pattern, 1)).alias("prefix"), n.try_cast("int").alias("users")))
 
 
 def rejection(column: Column) -> Column:
-    """Why a text is no name: empty, counter, rating, description, number; null if it may be one."""
-    t = F.lower(F.trim(column))
-    return F.when(column.isNull() | (t == "") , "empty").when(popularity(column).isNotNull(), "popularity").when(t.rlike(r"^r-?18g?$"), "rating").when(t.isin(*NO_NAMES), "descriptive").when(t.rlike(r"^[\d\s._-]+$"), "numeric")
+    """Why a text is no name: empty, address or path, rating, counter, description; null if it may be one."""
+    t = normalize(column)
+    return (
+        F.when(t.isNull() | (t == ""), "empty_or_invalid")
+        .when(t.rlike(r"[a-z][a-z0-9+.-]*://|^[a-zA-Z]:\\|^\\\\"), "url_or_path")
+        .when(t.rlike(r"(?i)^(r-?18|r18g|nsfw)$"), "explicit_r18_meta")
+        .when(t.rlike(rf"(?i)^(.+?[0-9]+\s*)?{COUNTER}$"), "popularity_meta")
+        .when(canonical_key(column).isin(*DESCRIPTIVE_KEYS), "descriptive_general")
+    )
 
 
 def external_ids(column: Column) -> Column:
@@ -113,9 +140,9 @@ def work_id(column: Column) -> Column:
 
 
 def short_key(column: Column) -> Column:
-    """Whether a key is too short to identify anything alone: up to 3 characters, or up to 7 without an underscore."""
-    n = F.length(column)
-    return (n <= 3) | ((n <= 7) & ~F.contains(column, F.lit("_")))
+    """Whether a key, without outer underscores, is too short to identify anything alone: missing, up to 3 characters, or up to 7 without an underscore."""
+    t = F.regexp_replace(column, "^_+|_+$", "")
+    return F.coalesce((F.length(t) <= 3) | ((F.length(t) <= 7) & ~F.contains(t, F.lit("_"))), F.lit(True))
 
 
 def bounded(column: Column, limit: int) -> Column:
@@ -134,10 +161,21 @@ def pair_id(a: Column, b: Column) -> Column:
     return F.sha2(F.concat_ws("|", F.least(a, b), F.greatest(a, b)), 256)
 
 
-def mapped(column: Column, table: dict[str, str], default: str) -> Column:
+def mapped(column: Column, table: dict[str, str] | dict[str, float], default: str | float | None) -> Column:
+    """The entry of a column's value in a table of fixed size."""
     return F.coalesce(F.create_map(*[F.lit(x) for pair in table.items() for x in pair])[column], F.lit(default))
 
 
+def concept_status(column: Column, default: str = "needs_review") -> Column:
+    """The state of a concept that a source's state asks for."""
+    return mapped(F.lower(column), CONCEPT_STATUS, default)
+
+
+def confidence_score(column: Column, fallback: float | None = None) -> Column:
+    """A number as it stands, a grade as its fixed number, else the fallback."""
+    return F.coalesce(column.cast("string").try_cast("double"), mapped(F.lower(column.cast("string")), GRADES, fallback))
+
+
 def redacted(column: Column) -> Column:
     """Texts with paths, file names, addresses or secrets replaced by the reason."""
     t = F.lower(column)

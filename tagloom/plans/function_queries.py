@@ -9,6 +9,30 @@ from tagloom.plans.registry import registry
 
 QUERIES, ORACLE, query = registry()
 
+# For the oracle, which has no NFKC: full-width marks, letters and digits and all gaps in their usual form, gaps collapsed.
+_WIDE = "".join(chr(c) for c in (*range(0xFF01, 0xFF5F), 0x3000, 0xA0, *range(0x2000, 0x200B), 0x202F, 0x205F))
+_USUAL = "".join(chr(c) for c in range(0x21, 0x7F)) + " " * (len(_WIDE) - 94)
+
+
+def _usual(x: str) -> str:
+    named = [text.replace("'", "''") for text in (_WIDE, _USUAL)]
+    return f"trim(regexp_replace(translate({x}, '{named[0]}', '{named[1]}'), '\\s+', ' ', 'g'))"
+
+
+def _key_sql(x: str) -> str:
+    return f"trim(regexp_replace(regexp_replace(regexp_replace(lower({x}), '[\\s/／・·,，|]+', '_', 'g'), '[^\\p{{L}}\\p{{N}}_:()+.\\-]', '_', 'g'), '_+', '_', 'g'), '_')"
+
+
+def family_sql(x: str) -> str:
+    """Script families; half-width kana and single letters of Korean syllables are of their script."""
+    found = {"latin": "[A-Za-zＡ-Ｚａ-ｚﬀ-ﬆⅠ-ⅿ]", "cjk": "[一-鿿]", "kana": "[぀-ヿｦ-ﾟ]", "hangul": "[가-힯]|[ᄀ-ᄒ][ᅡ-ᅵ]"}
+    cases = ", ".join(f"case when regexp_matches({x}, '{chars}') then '{name}' end" for name, chars in found.items())
+    return f"coalesce(nullif(concat_ws('+', {cases}), ''), case when {x} is null or {_usual(x)} = '' then 'unknown' else 'other' end)"
+
+
+def short_sql(x: str) -> str:
+    return f"coalesce(length(trim({x}, '_')) <= 3 or (length(trim({x}, '_')) <= 7 and not contains(trim({x}, '_'), '_')), true)"
+
 
 @query("h01_normalized_text")
 def _(lib):
@@ -31,8 +55,7 @@ def _(lib):
     return lib.raw("source_assertions").select("id", T.script_hint(F.col("raw_input")).alias("hint"))
 
 
-@query("h05_script_families", """select id, concat_ws('+', case when regexp_matches(x, '[A-Za-z]') then 'latin' end, case when regexp_matches(x, '[一-鿿]') then 'cjk' end, case when regexp_matches(x, '[぀-ヿ]') then 'kana' end, case when regexp_matches(x, '[가-힯]') then 'hangul' end) as family
-  from (select id, display_value as x from signals)""")
+@query("h05_script_families", f"select id, {family_sql('display_value')} as family from signals")
 def _(lib):
     return lib.raw("signals").select("id", T.script_family(F.col("display_value")).alias("family"))
 
@@ -47,18 +70,31 @@ def _(lib):
     return lib.tags.select("id", F.sort_array(T.search_keys(F.col("name"))).alias("keys"))
 
 
-@query("h08_popularity", "select id, regexp_extract(raw_input, '^(.*?)[ _]*([0-9]{2,6})users入り$', 1) as prefix, cast(regexp_extract(raw_input, '^(.*?)[ _]*([0-9]{2,6})users入り$', 2) as int) as users from source_assertions where regexp_matches(raw_input, '^.*[0-9]{2,6}users入り$')")
+_COUNTED = "^(.+?)([0-9]+)\\s*(?:users?入り|users?入|user入り)$"
+
+
+@query("h08_popularity", f"select id, trim(regexp_extract(x, '(?i){_COUNTED}', 1)) as prefix, try_cast(regexp_extract(x, '(?i){_COUNTED}', 2) as int) as users from (select id, {_usual('raw_input')} as x from source_assertions) where regexp_matches(x, '(?i){_COUNTED}')")
 def _(lib):
     p = lib.raw("source_assertions").select("id", T.popularity(F.col("raw_input")).alias("p")).filter("p is not null")
     return p.select("id", "p.prefix", "p.users")
 
 
-@query("h09_rejections", """select id, case when raw_input is null or trim(raw_input) = '' then 'empty' when regexp_matches(raw_input, '^.*[0-9]{2,6}users入り$') then 'popularity' when regexp_full_match(lower(trim(raw_input)), 'r-?18g?') then 'rating'
-  when lower(trim(raw_input)) in ('original character', 'fan art', 'wip', 'sketch', 'commission', 'untitled', 'unknown artist', 'blue hair') then 'descriptive' when regexp_full_match(lower(trim(raw_input)), '[0-9\\s._-]+') then 'numeric' end as reason from source_assertions""")
+_REASONS = f"""case when x is null or x = '' then 'empty_or_invalid' when regexp_matches(x, '[a-z][a-z0-9+.-]*://') or regexp_matches(x, '^[a-zA-Z]:\\\\') or starts_with(x, '\\\\') then 'url_or_path' when regexp_matches(x, '(?i)^(r-?18|r18g|nsfw)$') then 'explicit_r18_meta'
+  when regexp_matches(x, '(?i){_COUNTED}') or regexp_matches(x, '(?i)^(users?入り|users?入|user入り)$') then 'popularity_meta' when {_key_sql('x')} in ({', '.join(f"'{k}'" for k in T.DESCRIPTIVE_KEYS)}) then 'descriptive_general' end"""
+
+
+@query("h09_rejections", f"select id, {_REASONS} as reason from (select id, {_usual('raw_input')} as x from source_assertions)")
 def _(lib):
     return lib.raw("source_assertions").select("id", T.rejection(F.col("raw_input")).alias("reason"))
 
 
+@query("h09_tag_rejections", f"select id, {_REASONS} as reason from (select id, {_usual('name')} as x from tags union all select 1000000 + id, {_usual('filename')} from m union all select 2000000 + id, source from m)")
+def _(lib):
+    """The same over names of tags, file names and addresses."""
+    rows = lib.tags.select("id", F.col("name").alias("x")).union(lib.media.select(F.col("id") + 1000000, "filename")).union(lib.media.select(F.col("id") + 2000000, "source"))
+    return rows.select("id", T.rejection(F.col("x")).alias("reason"))
+
+
 @query("h11_external_ids")
 def _(lib):
     """Works and pages named in document texts."""
@@ -71,9 +107,9 @@ def _(lib):
     return lib.raw("source_metadata_records").select("id", T.work_id(F.col("source_work_id")).alias("work"))
 
 
-@query("h13_short_keys", "select id, length(normalized_key) <= 3 or (length(normalized_key) <= 7 and not contains(normalized_key, '_')) as short from signals where normalized_key is not null")
+@query("h13_short_keys", f"select id, {short_sql('normalized_key')} as short from signals")
 def _(lib):
-    return lib.raw("signals").filter("normalized_key is not null").select("id", T.short_key(F.col("normalized_key")).alias("short"))
+    return lib.raw("signals").select("id", T.short_key(F.col("normalized_key")).alias("short"))
 
 
 @query("h14_bounded_keys", "select id, case when length(assertion_key) <= 30 then assertion_key else substr(assertion_key, 1, 13) || ':' || substr(sha256(assertion_key), 1, 16) end as key from source_assertions")
@@ -92,9 +128,32 @@ def _(lib):
     return l.select(F.col("id").alias("link_id"), T.pair_id(F.col("signal_id").cast("string"), F.col("concept_id").cast("string")).alias("pair_id"))
 
 
-@query("h17_role_mapping", "select id, case category when 'artist' then 'artist' when 'character' then 'character' when 'copyright' then 'work' else 'unknown' end as role from t")
+def _case(column: str, table: dict, default: str) -> str:
+    return f"case {column} " + " ".join(f"when '{k}' then " + (f"'{v}'" if isinstance(v, str) else str(v)) for k, v in table.items()) + f" else {default} end"
+
+
+@query("h17_role_mapping", f"select id, {_case('lower(category)', T.TAG_CATEGORY_ROLES, "'unknown'")} as role from t")
+def _(lib):
+    """Roles of tags by category."""
+    return lib.tags.select("id", T.mapped(F.lower("category"), T.TAG_CATEGORY_ROLES, "unknown").alias("role"))
+
+
+@query("h17_source_roles", f"select id, {_case('lower(asserted_role)', T.SOURCE_ROLES, "'unknown'")} as role, {_case("lower(trim(asserted_role))", T.SOURCE_TAG_CATEGORY_ROLES, "'unknown'")} as tag_role from source_assertions")
+def _(lib):
+    """Roles that sources state, read as a role and as a tag category."""
+    role = F.col("asserted_role")
+    return lib.raw("source_assertions").select("id", T.mapped(F.lower(role), T.SOURCE_ROLES, "unknown").alias("role"), T.mapped(F.lower(T.normalize(role)), T.SOURCE_TAG_CATEGORY_ROLES, "unknown").alias("tag_role"))
+
+
+@query("h17_statuses", f"select id, {_case('lower(status)', T.CONCEPT_STATUS, "'needs_review'")} as concept_status from source_assertions")
+def _(lib):
+    return lib.raw("source_assertions").select("id", T.concept_status(F.col("status")).alias("concept_status"))
+
+
+@query("h17_confidences", f"select id, coalesce(try_cast(confidence as double), {_case('lower(confidence)', T.GRADES, 'null')}, confidence_score) as score from source_assertions")
 def _(lib):
-    return lib.tags.select("id", T.mapped(F.col("category"), T.ROLES, "unknown").alias("role"))
+    """Grades as numbers; where a grade is unknown, the score beside it."""
+    return lib.raw("source_assertions").select("id", F.coalesce(T.confidence_score(F.col("confidence")), "confidence_score").alias("score"))
 
 
 @query("h19_word_split", "select id, list_filter(string_split_regex(name, '[_-]'), lambda x: x <> '') as words from t")

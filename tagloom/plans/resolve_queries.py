@@ -5,18 +5,20 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tagloom.operators import resolve as R
+from tagloom.plans.function_queries import family_sql, short_sql
 from tagloom.plans.registry import registry
 from tagloom.session import Scratch
 
 QUERIES, ORACLE, query = registry()
 
 _P = r"regexp_extract(normalized_key, '^(.+?)_?\(([^()]+)\)$', {})"
+_FAMILY = family_sql("x")
 _S = f"""s as (select id, case when {_P.format(2)} <> '' then {_P.format(1)} else normalized_key end as surface, normalized_key as canonical, coalesce(role_hint, 'unknown') as role, coalesce(work_context_key, nullif({_P.format(2)}, '')) as declared, trust_tier as trust, status, provider, media_id,
-  source_metadata_record_id as record_id, coalesce(confidence, 0) as confidence, concat_ws('+', case when regexp_matches(x, '[A-Za-z]') then 'latin' end, case when regexp_matches(x, '[一-鿿]') then 'cjk' end, case when regexp_matches(x, '[぀-ヿ]') then 'kana' end, case when regexp_matches(x, '[가-힯]') then 'hangul' end) as script,
+  source_metadata_record_id as record_id, coalesce(confidence, 0) as confidence, {_FAMILY} as script,
   coalesce(trust_tier = 'medium_ai', false) as ai, origin_type, {_P.format(2)} <> '' as bracketed from (select *, coalesce(display_value, '') as x from signals where normalized_key <> ''))"""
 _U = "u as (select * from s where coalesce(status, '') <> 'rejected' and coalesce(trust, '') <> 'rejected')"
 _E = "ent as (select surface, round_even(case when count(*) > 1 then (log2(sum(c)) - sum(c * log2(c)) / sum(c)) / log2(count(*)) else 0 end, 4) as entropy from (select surface, role, count(*) as c from u group by 1, 2) group by 1)"
-_SHORT = "(length(surface) <= 3 or (length(surface) <= 7 and not contains(surface, '_')))"
+_SHORT = short_sql("surface")
 _AMB = f"""amb as (select *, score >= 0.5 as ambiguous from (select surface, n, contexts, providers, entropy, round(greatest(0, least(1, case when {_SHORT} then 0.35 else 0 end + case when contexts = 0 then 0.15 when contexts > 1 then least(0.5, 0.25 + 0.08 * (contexts - 1)) else 0 end
   + case when n >= 5 then least(0.25, 0.08 + 0.04 * log2(n)) else 0 end + 0.25 * entropy + case when providers > 1 and contexts > 1 then 0.08 else 0 end - case when contexts = 1 and greatest(records, media) >= 2 then 0.25 else 0 end - case when bracketed then 0.15 else 0 end - case when scripts > 1 and contexts <= 1 then 0.05 else 0 end)), 4) as score
   from (select surface, count(*) as n, count(distinct declared) as contexts, count(distinct provider) as providers, count(distinct record_id) as records, count(distinct media_id) as media, count(distinct script) as scripts, bool_or(bracketed) as bracketed from u group by 1) join ent using (surface)))"""
@@ -24,8 +26,8 @@ _CTX = """ctx as (select 'media' as scope, media_id as scope_id, list_sort(list(
 _W = """w as (select s.*, coalesce(declared, r.contexts[1], x.contexts[1]) as context, case when declared is not null then 'explicit' when r.scope is not null then 'record' when x.scope is not null then 'media' else 'none' end as strength from s
   left join ctx r on r.scope = 'record' and r.scope_id = record_id and len(r.contexts) = 1 left join ctx x on x.scope = 'media' and x.scope_id = media_id and len(x.contexts) = 1)"""
 _STOP = ", ".join(f"'{k}'" for k in R.STOP_KEYS)
-_A = f"""a as (select w.*, coalesce(amb.ambiguous, (length(w.surface) <= 3 or (length(w.surface) <= 7 and not contains(w.surface, '_')))) as amb, case when coalesce(status, '') = 'rejected' or w.surface in ({_STOP}) then null when role in ('character', 'person') and context is not null then role || ':' || w.surface || ':work:' || context
-  when role in ('character', 'person') and not coalesce(amb.ambiguous, (length(w.surface) <= 3 or (length(w.surface) <= 7 and not contains(w.surface, '_')))) then role || ':' || w.surface when role = 'work' then role || ':' || w.surface end as anchor from w left join amb using (surface))"""
+_A = f"""a as (select w.*, coalesce(amb.ambiguous, {short_sql('w.surface')}) as amb, case when coalesce(status, '') = 'rejected' or w.surface in ({_STOP}) then null when role in ('character', 'person') and context is not null then role || ':' || w.surface || ':work:' || context
+  when role in ('character', 'person') and not coalesce(amb.ambiguous, {short_sql('w.surface')}) then role || ':' || w.surface when role = 'work' then role || ':' || w.surface end as anchor from w left join amb using (surface))"""
 _ALL = (_S, _U, _E, _AMB, _CTX, _W, _A)
 
 

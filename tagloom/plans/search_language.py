@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
-from datetime import date, datetime, timedelta
+from datetime import datetime, timedelta
 
 # Fixed values of the language: the token pattern, units and names.
 TOKEN = re.compile(r'(-?)(?:([a-zA-Z0-9_]+):)?("[^"]*"|[^\s"]+)')
@@ -37,49 +38,67 @@ class Query:
     meta: dict[str, list[Meta]] = field(default_factory=dict)
 
 
-def parse(text: str, aliases: dict[str, str] | None = None) -> Query:
-    """Tokens ``[-][key:]value``; a quoted value is never a wildcard, and aliases are replaced before wildcards are looked for."""
-    out = Query()
-    for minus, key, value in TOKEN.findall(text or ""):
-        quoted = len(value) >= 2 and value[0] == value[-1] == '"'
-        value = value[1:-1] if quoted else value
+@dataclass(frozen=True)
+class Token:
+    """One token: kind is 'meta' (with its key), 'wildcard' or 'tag'."""
+
+    kind: str
+    text: str
+    negated: bool
+    key: str = ""
+
+
+def scan(text: str | None, aliases: dict[str, str] | None = None) -> Iterator[Token]:
+    """Tokens ``[-][key:]value``. A quoted value is never a wildcard, aliases are replaced before wildcards are looked for, and an empty value is no token."""
+    known = aliases or {}
+    for found in TOKEN.finditer(text or ""):
+        sign, key, shown = found.groups()
+        bare = shown.strip('"')
         if key:
-            out.meta.setdefault(key.lower(), []).append(Meta(value, minus == "-"))
-            continue
-        if not value:
-            continue
-        name = (aliases or {}).get(value.lower(), value)
-        if not quoted and ("*" in name or "?" in name):
-            out.wildcards.append((minus == "-", name))
-        else:
-            (out.exclude if minus else out.include).append(name.lower())
-    return out
+            yield Token("meta", bare, bool(sign), key.lower())
+        elif bare:
+            name = known.get(bare.lower(), bare)
+            pattern = bare is shown and not {"*", "?"}.isdisjoint(name)
+            yield Token("wildcard" if pattern else "tag", name if pattern else name.lower(), bool(sign))
+
+
+def parse(text: str | None, aliases: dict[str, str] | None = None) -> Query:
+    """The syntax tree of a query text."""
+    tokens = list(scan(text, aliases))
+    meta: dict[str, list[Meta]] = {t.key: [] for t in tokens if t.kind == "meta"}
+    for t in tokens:
+        if t.kind == "meta":
+            meta[t.key].append(Meta(t.text, t.negated))
+    tags = [t for t in tokens if t.kind == "tag"]
+    return Query([t.text for t in tags if not t.negated], [t.text for t in tags if t.negated], [(t.negated, t.text) for t in tokens if t.kind == "wildcard"], meta)
+
+
+#: Signs before a value; of two that fit, the longer one is meant.
+COMPARISONS = {">=": "ge", "<=": "le", ">": "gt", "<": "lt"}
 
 
 def parse_range(value: str, convert) -> Range:
     """``a..b`` (both ends included), ``..b``, ``a..``, ``>= <= > <``, ``a,b,c``, else equality."""
-    if ".." in value:
-        low, high = value.split("..", 1)
-        if low and high:
+    match value.split(".."):
+        case ["", high]:
+            return Range("le", convert(high))
+        case [low, ""]:
+            return Range("ge", convert(low))
+        case [low, high]:
             return Range("between", convert(low), convert(high))
-        return Range("ge", convert(low)) if low else Range("le", convert(high)) if high else Range("eq", convert(value))
-    for sign, op in ((">=", "ge"), ("<=", "le"), (">", "gt"), ("<", "lt")):
-        if value.startswith(sign):
-            return Range(op, convert(value[len(sign) :]))
-    if "," in value:
-        return Range("in", [convert(v) for v in value.split(",") if v])
-    return Range("eq", convert(value))
+    sign = max((s for s in COMPARISONS if value.startswith(s)), key=len, default="")
+    if sign:
+        return Range(COMPARISONS[sign], convert(value.removeprefix(sign)))
+    listed = value.split(",")
+    return Range("in", [convert(v) for v in listed if v]) if listed[1:] else Range("eq", convert(value))
 
 
-def _date(text: str) -> date | None:
+def parse_dates(value: str) -> Range:
+    """A range of dates; where any date of it is none, the whole asks for media without a date."""
     try:
-        return datetime.strptime(text, "%Y-%m-%d").date()
+        return parse_range(value, lambda text: datetime.strptime(text, "%Y-%m-%d").date())
     except ValueError:
-        return None
-
-
-def parse_dates(value: str) -> Range:
-    return parse_range(value, _date)
+        return Range("eq", None)
 
 
 def _age(text: str) -> timedelta:

@@ -52,9 +52,22 @@ def test_h11_external_ids(spark):
 
 
 def test_h08_h09_h13(spark):
-    df = texts(spark, ["harbor500users入り", "R-18", "fan art", "12 34", "  ", "Name"])
-    assert [r[0] for r in df.select(T.rejection(F.col("t"))).collect()] == ["popularity", "rating", "descriptive", "numeric", "empty", None]
-    assert [r[0] for r in texts(spark, ["abc", "abcdefg", "abc_def", "abcdefgh"]).select(T.short_key(F.col("t"))).collect()] == [True, True, False, False]
+    df = texts(spark, ["harbor500users入り", "海５００Users入", "users入り", "R-18", "NSFW", "Blue Hair", "水着", "https://a.b", "C:\\x", "\\\\host", "12 34", "  ", None, "Name"])
+    got = [r[0] for r in df.select(T.rejection(F.col("t"))).collect()]
+    assert got == ["popularity_meta"] * 3 + ["explicit_r18_meta"] * 2 + ["descriptive_general"] * 2 + ["url_or_path"] * 3 + [None] + ["empty_or_invalid"] * 2 + [None]
+    assert [r[0] and tuple(r[0]) for r in df.select(T.popularity(F.col("t"))).collect()][:4] == [("harbor", 500), ("海", 500), None, None]
+    assert [r[0] for r in texts(spark, ["abc", "abcdefg", "abc_def", "abcdefgh", "_ab_", "_abcdefg", None, ""]).select(T.short_key(F.col("t"))).collect()] == [True, True, False, False, True, True, True, True]
+
+
+def test_h05_script_families(spark):
+    got = [r[0] for r in texts(spark, ["Ａb", "漢字 abc", "ｶﾅ", "한글", "Жан", "12", " ", None]).select(T.script_family(F.col("t"))).collect()]
+    assert got == ["latin", "latin+cjk", "kana", "hangul", "other", "other", "unknown", "unknown"]
+
+
+def test_h17_tables(spark):
+    df = texts(spark, ["Creator", "series", "observed", "BLOCKED", "High", "0.4", None])
+    got = [tuple(r) for r in df.select(T.mapped(F.lower("t"), T.SOURCE_ROLES, "unknown"), T.mapped(F.col("t"), T.SOURCE_TAG_CATEGORY_ROLES, "unknown"), T.concept_status(F.col("t")), T.confidence_score(F.col("t"), 0.1)).collect()]
+    assert [g[0] for g in got] == ["artist"] + ["unknown"] * 6 and got[1][1] == "work" and [g[2] for g in got][2:4] == ["active", "rejected"] and [g[3] for g in got][4:] == [0.9, 0.4, 0.1]
 
 
 def test_b38_redaction(spark):

@@ -40,7 +40,9 @@ def test_b02_ranges(text, want):
 
 def test_b03_dates():
     assert L.parse_dates("2024-02-03").value == date(2024, 2, 3)
-    assert L.parse_dates("yesterday") == L.Range("eq", None)
+    for bad in ("yesterday", "2024-01-01..soon", "..soon", ">=soon", "2024-01-01,soon"):
+        assert L.parse_dates(bad) == L.Range("eq", None)
+    assert L.parse_dates("2024-01-01..2024-02-01") == L.Range("between", date(2024, 1, 1), date(2024, 2, 1))
 
 
 def test_b04_ages():
