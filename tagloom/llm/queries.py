@@ -50,9 +50,9 @@ def p3_group_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tags = table(spark, sf_dir, "media_tags")
-    records = tags.select("media_id").distinct().filter("media_id is not null").count()
-    return frequency.marked_terms(frequency.term_counts(tags, "media_id", ["tag_id", "source"]), records)
+    counts = Scratch(spark, "p4").put(frequency.all_counts(table(spark, sf_dir, "media_tags"), "media_id", ["tag_id", "source"]))
+    every = counts.filter("field_name is null").first()
+    return frequency.marked_terms(counts.filter("field_name is not null"), every["n_records"] if every else 0)
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

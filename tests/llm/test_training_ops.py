@@ -101,11 +101,12 @@ def test_p3_empty(spark):
 # p4
 
 
-@pytest.mark.parametrize("heavy", [1, 3, 512])
-def test_p4_counts(spark, heavy):
+@pytest.mark.parametrize("heavy, kind", [(1, "long"), (3, "string"), (512, "long")])
+def test_p4_counts(spark, heavy, kind, monkeypatch):
+    monkeypatch.setattr(frequency, "HELD", 50)
     rnd = random.Random(heavy)
     data = [(rnd.choice([None, *range(1, 15)]), rnd.choice([1, 1, 1, 1, 2, 3, *range(4, 30), None]), rnd.choice(["a", "a ", "", None, "b"])) for _ in range(400)]
-    df = spark.createDataFrame([(*r, 5) for r in data], "m long, t long, s string, n int")
+    df = spark.createDataFrame([(*r, 5) for r in data], "m long, t long, s string, n int").withColumn("m", F.col("m").cast(kind))
     want = defaultdict(lambda: [0, set()])
     for m, t, s in data:
         for field, value in (("t", t), ("s", s)):
@@ -114,6 +115,27 @@ def test_p4_counts(spark, heavy):
                 want[(field, str(value))][1].add(m)
     got = {(r["field_name"], r["term"]): (r["n_rows"], r["n_records"]) for r in frequency.term_counts(df, "m", ["t", "s"], max_heavy=heavy).collect()}
     assert got == {k: (n, len(ms - {None})) for k, (n, ms) in want.items()}
+    every = frequency.all_counts(df, "m", ["t", "s"], max_heavy=heavy).filter("field_name is null").collect()
+    assert [tuple(r)[2:] for r in every] == [(len(data), len({m for m, _, _ in data} - {None}))]
+
+
+def test_p4_blocks_keep_all_ids():
+    rnd = np.random.default_rng(4)
+    for ids in (rnd.integers(-(2**62), 2**62, 500), np.repeat(np.arange(300), 2), np.array([f"é{i % 70}" for i in range(200)], object)):
+        at, kept = frequency._distinct(rnd.integers(0, 9, len(ids)), ids)
+        back = frequency._unpack(frequency._pack(at, kept), ids.dtype == np.int64)
+        assert back[0].tolist() == at.tolist() and back[1].tolist() == kept.tolist()
+        assert len(frequency._slice_of(kept, 7)) == len(kept) and set(frequency._slice_of(kept, 7)) <= set(range(7))
+
+
+def test_p4_heavy_rows_are_not_shuffled(spark):
+    """Rows of the plan's shuffles: no more than the light rows, the arrays and the blocks."""
+    df = spark.range(200_000).select((F.col("id") % 5000).alias("m"), F.when(F.col("id") % 10 < 9, F.col("id") % 3).otherwise(F.col("id")).alias("t"))
+    counts = frequency.all_counts(df, "m", ["t"])
+    assert counts.filter("field_name is not null").count() == 20_003
+    text = counts._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
+    shuffled = [line for line in text.splitlines() if "Exchange hashpartitioning" in line]
+    assert not any("record" in line for line in shuffled) and any("slice" in line for line in shuffled)
 
 
 def test_p4_empty_and_marks(spark):
