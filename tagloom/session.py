@@ -63,6 +63,12 @@ def table_state(spark: SparkSession, name: str) -> tuple[str, int]:
     return f"{total.getLength()}-{total.getFileCount()}-{fs.getFileStatus(path).getModificationTime()}", total.getLength()
 
 
+def subfolders(spark: SparkSession, name: str) -> dict[str, int]:
+    """Folders in a folder (the partitions of a written table) with their bytes."""
+    fs, path = _path(spark, name)
+    return {f.getPath().getName(): fs.getContentSummary(f.getPath()).getLength() for f in fs.listStatus(path) if f.isDirectory()}
+
+
 def drop_table(spark: SparkSession, *paths: str) -> None:
     """Deletes written scratch tables."""
     for name in paths:
