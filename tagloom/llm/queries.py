@@ -21,18 +21,28 @@ def _pair_table(spark: SparkSession, sf_dir: str) -> cooccurrence.PairTable:
     seconds = F.col("updated_at").cast("double")
     lo, hi = links.agg(F.min(seconds), F.max(seconds)).first()
     late = F.coalesce(seconds > F.lit(lo + 0.9 * (hi - lo) if lo is not None else 0.0), F.lit(False))
-    pairs = cooccurrence.PairTable(spark, "p1")
+    pairs = cooccurrence.PairTable(spark, "p1", min_count=5)
     return pairs.apply(links.filter(~late), "media_id", "tag_id").apply(links.filter(late), "media_id", "tag_id")
 
 
+def _scored(pairs: cooccurrence.PairTable) -> DataFrame:
+    return pairs.scores(5).select(F.col("a").alias("tag_a"), F.col("b").alias("tag_b"), F.col("n").alias("n_both"), "n_a", "n_b", F.round("lift", 6).alias("lift"))
+
+
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cooccurrence.together(_pair_table(spark, sf_dir), 5, 5).select(F.col("a").alias("tag_a"), F.col("b").alias("tag_b"))
 
 
 def p1_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Count and lift of every pair that occurs at least 5 times."""
-    out = _pair_table(spark, sf_dir).scores(5)
-    return out.select(F.col("a").alias("tag_a"), F.col("b").alias("tag_b"), F.col("n").alias("n_both"), "n_a", "n_b", F.round("lift", 6).alias("lift"))
+    return _scored(_pair_table(spark, sf_dir))
+
+
+def p1_after_purge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same after a third batch takes away every membership that a reverse search named."""
+    links = table(spark, sf_dir, "media_tags").select("media_id", "tag_id", "source")
+    gone = links.filter("source = 'reverse_search'")
+    return _scored(_pair_table(spark, sf_dir).apply(links.limit(0), "media_id", "tag_id", gone))
 
 
 def _counting_links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,9 +140,12 @@ def p9_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _LINKS = """select distinct media_id, tag_id from media_tags where media_id is not null and tag_id is not null"""
-_P1 = f"""with l as ({_LINKS}), n as (select tag_id, count(*) as n from l group by 1), t as (select count(distinct media_id) as t from l),
+_P1_OF = """with l as ({}), n as (select tag_id, count(*) as n from l group by 1), t as (select count(distinct media_id) as t from l),
 p as (select x.tag_id as tag_a, y.tag_id as tag_b, count(*) as n_both from l x join l y on x.media_id = y.media_id and x.tag_id < y.tag_id group by 1, 2 having count(*) >= 5)
 """
+_P1 = _P1_OF.format(_LINKS)
+_P1_PURGED = _P1_OF.format("select media_id, tag_id from media_tags where media_id is not null and tag_id is not null group by 1, 2 having not coalesce(bool_or(source = 'reverse_search'), false)")
+_P1_SCORES = "select tag_a, tag_b, n_both, a.n as n_a, b.n as n_b, round(n_both * t.t::double / (a.n::double * b.n), 6) as lift from p join n a on a.tag_id = tag_a join n b on b.tag_id = tag_b, t"
 _P4 = """with v as (select 'tag_id' as field_name, cast(tag_id as varchar) as term, media_id from media_tags union all select 'source', source, media_id from media_tags),
 c as (select field_name, term, count(*) as n_rows, count(distinct media_id) as n_records from v where term is not null group by 1, 2),
 m as (select *, case when n_records < 4 then 'rare' when n_records * 20 > (select count(distinct media_id) from media_tags) then 'common' end as mark from c)
@@ -147,6 +160,7 @@ g as (select a as signal_id, min(b) as group_id from r group by 1)
 QUERIES = {
     "p1_found": p1_found,
     "p1_scores": p1_scores,
+    "p1_after_purge": p1_after_purge,
     "p3_found": p3_found,
     "p3_group_sizes": p3_group_sizes,
     "p4_found": p4_found,
@@ -164,7 +178,8 @@ QUERIES = {
 }
 ORACLE = {
     "p1_found": _P1 + "select tag_a, tag_b from p join n a on a.tag_id = tag_a join n b on b.tag_id = tag_b, t where n_both * t >= 5 * a.n * b.n",
-    "p1_scores": _P1 + "select tag_a, tag_b, n_both, a.n as n_a, b.n as n_b, round(n_both * t.t::double / (a.n::double * b.n), 6) as lift from p join n a on a.tag_id = tag_a join n b on b.tag_id = tag_b, t",
+    "p1_scores": _P1 + _P1_SCORES,
+    "p1_after_purge": _P1_PURGED + _P1_SCORES,
     "p3_found": _P3 + "select signal_id, group_id from g",
     "p3_group_sizes": _P3 + "select group_id, count(*) as n_signals from g group by 1",
     "p4_found": _P4 + "select field_name, term, mark from m where mark is not null",

@@ -37,7 +37,7 @@ def links(spark, data):
 @pytest.mark.parametrize("block", [4, 64])
 def test_p1_batches_of_changes(spark, block):
     rnd = random.Random(block)
-    table, now = cooccurrence.PairTable(spark, "t1", buckets=3, block=block), defaultdict(set)
+    table, now = cooccurrence.PairTable(spark, "t1", grid=3, block=block), defaultdict(set)
     for turn in range(3):
         added = [(rnd.randint(1, 12), rnd.randint(1, 25)) for _ in range(60)]
         added += [(1, i) for i in range(1, 24)] if turn == 1 else []  # a hot basket of many blocks
@@ -63,6 +63,24 @@ def test_p1_empty(spark):
     assert rows(table.pairs.select("a", "b", "n")) == [(1, 2, 1)]
 
 
+def test_p1_a_small_batch_touches_little(spark):
+    """One basket of two items: its cell of the counts, its two buckets of the marginals and one of the memberships are written, and only the scores of their rows and columns."""
+    rnd = random.Random(5)
+    data = [(b, rnd.randint(1, 200)) for b in range(2000) for _ in range(6)]
+    table = cooccurrence.PairTable(spark, "t1", grid=6).apply(links(spark, data), "b", "i")
+    table.scores().count()
+    parts = ("members", "counts", "singles", "scored")
+    before, full = {p: dict(getattr(table, p).paths) for p in parts}, {p: getattr(table, p).written for p in parts}
+    table.apply(links(spark, [(9999, 17), (9999, 18)]), "b", "i")
+    table.scores().count()
+    changed = {p: {k for k, v in getattr(table, p).paths.items() if before[p].get(k) != v} for p in parts}
+    assert len(changed["members"]) == len(changed["counts"]) == 1 and len(changed["singles"]) <= 2 and len(changed["scored"]) <= 20
+    assert all(getattr(table, p).written < full[p] for p in parts) and table.counts.written < full["counts"] / 18
+    pairs, single = brute_pairs({**{b: {i for x, i in data if x == b} for b in range(2000)}, 9999: {17, 18}})
+    got = {(r["a"], r["b"]): (r["n"], r["n_a"], r["n_b"]) for r in table.scores().collect()}
+    assert got == {k: (n, single[k[0]], single[k[1]]) for k, n in pairs.items()}
+
+
 # p3
 
 
