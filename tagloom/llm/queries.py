@@ -134,9 +134,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p9_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each sentence with its text."""
-    docs = table(spark, sf_dir, "documents")
-    found = p9_found(spark, sf_dir).join(docs.select("doc_id", "text"), "doc_id")
-    return found.select("doc_id", "sent_start", "sent_end", F.substring("text", F.col("sent_start") + 1, F.col("sent_end") - F.col("sent_start")).alias("sentence"))
+    return sentences(table(spark, sf_dir, "documents"), "doc_id", "text", "lang", with_text=True)
 
 
 _LINKS = """select distinct media_id, tag_id from media_tags where media_id is not null and tag_id is not null"""

@@ -364,6 +364,21 @@ def test_p9_golden(lang, gap):
         assert [text[a:b] for a, b in Segmenter("xx").spans(text)] == units  # the language may be unknown
 
 
+@pytest.mark.parametrize("text", [
+    "I said no. She left at once.", "He studied art. She studied law.", "His name is Max. He is tall.", "They fixed the tab. It closed.", "It took 5 min. We left.", "Take the cap. Put it on.",
+    'The screen is 5" wide. It is new. The other is 6" wide.', "she won. he lost. they cried.",
+])
+def test_p9_words_of_other_languages_end_sentences(text):
+    """Abbreviations of one language are words of another; an inch mark is no quotation; a text without capitals has sentences too."""
+    spans = [text[a:b] for a, b in Segmenter("en").spans(text)]
+    assert len(spans) == text.count(".") and " ".join(spans) == text
+
+
+def test_p9_tables_go_by_the_words_near_the_place():
+    text = "They fixed the tab. Im 27. Band steht es, vgl. Tab. 3 und max. 5 Bilder. It took 5 min. We left."
+    assert [text[a:b] for a, b in Segmenter("fr").spans(text)] == ["They fixed the tab.", "Im 27. Band steht es, vgl. Tab. 3 und max. 5 Bilder.", "It took 5 min.", "We left."]
+
+
 def test_p9_lines():
     text = "Tag guide, part 14\r\n\r\n- a_b, c.d no. 2. X\n• e\n\nOne sentence that is\nwrapped here. Two.\n \n一共8张\n颜色还没定　欢迎留言"
     assert [text[a:b] for a, b in Segmenter("").spans(text)] == ["Tag guide, part 14", "- a_b, c.d no. 2. X", "• e", "One sentence that is\nwrapped here.", "Two.", "一共8张", "颜色还没定", "欢迎留言"]
@@ -383,5 +398,6 @@ def test_p9_frame(spark):
     df = spark.createDataFrame([(*r, 0) for r in data], "doc_id long, text string, lang string, sent_start int")
     got = rows(sentences(df, "doc_id", "text", "lang").filter("doc_id < 6"))
     assert got == [(1, 0, 6), (1, 7, 13), (5, 0, 6), (5, 7, 13)]
+    assert [r["sentence"] for r in sentences(df, "doc_id", "text", "lang", with_text=True).filter("doc_id = 1").collect()] == ["Ab cd.", "Ef gh."]
     assert sentences(df, "doc_id", "text", "lang").filter("doc_id = 6").agg(F.max("sent_end")).first()[0] == 119_999
     assert sentences(df.limit(0), "doc_id", "text", "lang").count() == 0
