@@ -90,11 +90,19 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalikes.same_looking_pairs(Scratch(spark, "p5").put(p5_forms(spark, sf_dir)))
 
 
+def _typed_names(spark: SparkSession, sf_dir: str) -> tuple:
+    rows = table(spark, sf_dir, "source_assertions").select("canonical_name_key", "raw_input", "normalized_input")
+    return rows, "canonical_name_key", ["raw_input", "normalized_input"], table(spark, sf_dir, "given_nicknames"), lookalikes.train(rows, "raw_input")
+
+
 def p6_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every canonical_name_key that is a name, with the entity it belongs to."""
-    rows = table(spark, sf_dir, "source_assertions").select("canonical_name_key", "raw_input")
-    model = lookalikes.train(rows, "raw_input")
-    return variants.link_keys(rows, "canonical_name_key", "raw_input", table(spark, sf_dir, "given_nicknames"), model)
+    """Every canonical_name_key that is a name, with the entity it belongs to: the result that grows with the keys, not with their pairs."""
+    return variants.link_keys(*_typed_names(spark, sf_dir))
+
+
+def p6_link_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links by the metric, and apart from them those by middle names, nicknames and initials."""
+    return variants.link_kinds(*_typed_names(spark, sf_dir))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,6 +174,7 @@ QUERIES = {
     "p5_forms": p5_forms,
     "p5_found": p5_found,
     "p6_entities": p6_entities,
+    "p6_link_kinds": p6_link_kinds,
     "p6_found": p6_found,
     "p7_ids": p7_ids,
     "p7_decoded": p7_decoded,

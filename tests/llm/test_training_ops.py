@@ -226,7 +226,8 @@ def test_p6_transpositions_count_once():
 
 
 @pytest.mark.parametrize("pivots, cell", [(1, 5), (7, 1000), (40, 3)])
-def test_p6_radius_join_loses_no_link(spark, pivots, cell):
+def test_p6_radius_join_loses_no_link(spark, pivots, cell, monkeypatch):
+    monkeypatch.setattr(variants, "PER_PIVOT", 1)
     rnd = random.Random(pivots)
     base = [("".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(4, 7))), "".join(rnd.choice("klmnoprs") for _ in range(rnd.randint(5, 8)))) for _ in range(40)]
     points = set(base)
@@ -249,6 +250,9 @@ def test_p6_points():
     p = lambda s: variants.points(s)
     assert p("Barhirzo, Dotowyn") == [("m", "dotowyn", "barhirzo")] and ("m", "dotowyn", "barhirzo") in p("Dotowyn Barhirzo")
     assert p("B. Durpugal") == [("i", "b", "durpugal")] == p("Durpugal B")
+    assert p("J. A. Miller") == [("i", "j a", "miller")] and p("J. Li") == [("i", "j", "li")]
+    assert p("Anna Maria Silva") == [("m", "anna maria", "silva"), ("m", "maria silva", "anna"), ("r", "anna", "silva"), ("r", "maria", "anna")]
+    assert p("mika99") == [("m", "mika99", "")] and p("Lantern Garden 74") == [] and p("Sky") == [("m", "sky", "")]
     assert p("Dr. Dovovin Gonlérrer (illust.)") == p("dovovin_gonlerrer_official") == p("DovovinGonlerrer")
     assert p("The Mankarkul Circle Co.") == p("Mankarkul Crcl.") == p("MankarkulCircle") == [("m", "mankarkul", "#circle")]
     assert p("T. Мендарлол") == p("Т. Мендарлол") == [("i", "т", "мендарлол")] and p("Т. Durpugal") == [("i", "t", "durpugal")]
@@ -260,14 +264,26 @@ def test_p6_entities(spark):
     same = [["bocugard_durpugal", "durpugal_bocugard", "bocugadr_durpual", "b._durpugal", "dr._bocugard_durpugal", "boco_durpugal"], ["ゼカバフ_イツミ", "イツミゼカバフさん"], ["sursasan_atelier", "sursasn_atelier", "atelier_sursasan"]]
     alone = ["rekoque_durpugal", "amber_theatre_113", "kozique_tujurmi", ""]
     keys = [k for g in same for k in g] + alone + [None]
-    df = spark.createDataFrame([(k, None if k is None else k.replace("_", " "), "x") for k in keys], "k string, raw string, entity string")
+    df = spark.createDataFrame([(k, " " if k == "sursasan_atelier" else None if k is None else k.replace("_", " "), "x") for k in keys], "k string, raw string, entity string")
     nick = spark.createDataFrame([("Bocugard", "Boco"), ("Rekoque", "Reko"), (None, "Zed")], "given_name string, nickname string")
-    linked = variants.link_keys(df, "k", "raw", nick, lookalikes.train(df, "raw"))
+    linked = variants.link_keys(df, "k", ["raw"], nick, lookalikes.train(df, "raw"))
     pairs = {tuple(r) for r in variants.entity_pairs(linked, cell=2).collect()}
     # "B. Durpugal" and "Boco Durpugal" lead to one person; "Rekoque Durpugal" only shares a family name
     assert pairs == {p for g in same for p in itertools.combinations(sorted(g), 2)}
     none = df.limit(0)
-    assert variants.entity_pairs(variants.link_keys(none, "k", "raw", nick, lookalikes.train(none, "raw"))).count() == 0
+    assert variants.entity_pairs(variants.link_keys(none, "k", ["raw"], nick, lookalikes.train(none, "raw"))).count() == 0
+
+
+def test_p6_middle_names(spark):
+    same = [["ana_silva_costa", "ana_s._costa", "ana_costa"], ["john_a._miller", "j._a._miller"]]
+    keys = [*itertools.chain(*same), "anna_maria_silva", "anna_paula_silva", "anna_silva", "john_b._miller", "john_miller", "j._miller", "mika99", "mika98", "sky", "skye"]
+    df = spark.createDataFrame([(k,) for k in keys], "k string").withColumn("raw", F.replace("k", F.lit("_"), F.lit(" ")))
+    nick = spark.createDataFrame([], "given_name string, nickname string")
+    linked = variants.link_keys(df, "k", ["raw"], nick, lookalikes.train(df, "raw"))
+    pairs = {tuple(r) for r in variants.entity_pairs(linked).collect()}
+    assert pairs == {p for g in same for p in itertools.combinations(sorted(g), 2)}  # two Annas and two Johns: the bare forms fit neither
+    kinds = {r["kind"]: r["n_links"] for r in variants.link_kinds(df, "k", ["raw"], nick, lookalikes.train(df, "raw")).collect()}
+    assert kinds["middle name"] >= 2 and kinds["initial"] == 1
 
 
 # p7
