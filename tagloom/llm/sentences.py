@@ -164,11 +164,15 @@ for _lang, _listed in FUNCTION_WORDS.items():
 
 _LINE = re.compile(r"[^\r\n  ]*(?:\r\n|[\r\n  ]|$)")
 _BULLET = re.compile(r"\s*[-*•‣·◦▪–]\s+\S")
-_PLACE = re.compile(rf"(?P<mark>[{re.escape(MARKS)}]+(?:[   ]?[»›]|[{re.escape(CLOSERS)}])*)|(?P<word>(?:ครับ|ค่ะ|คะ))|(?P<line>[ \t]*(?:\r\n|[\r\n  ]))|(?P<wide>(?<=\S)　+)")
+# Where a place may start, and what it is, by its first character; a single set is what the search is fastest for.
+_MARK = re.compile(rf"[{re.escape(MARKS)}]+(?:[\u00a0\u202f ]?[»›]|[{re.escape(CLOSERS)}])*")
+_STARTS = re.compile(rf"[{re.escape(MARKS)}ค\r\n\u2028\u2029\u3000]")
+_OTHER = re.compile(r"(?P<word>ครับ|ค่ะ|คะ)|(?P<line>\r\n|[\r\n\u2028\u2029])|(?P<wide>(?<=\S)\u3000+)")
 _OPENS = re.compile("[" + re.escape("".join(set(PAIRS) | set(PAIRS.values())) + '"') + "]")
 _FIRM = re.compile(r"[!?…。！？｡।॥؟۔‼⁇⁈⁉።။។:.]")
 _WORDS = re.compile(r"[^\W\d_]+")
 _LAST_WORD = re.compile(r"(?<![A-Za-zÀ-ӿ0-9])[A-Za-zÀ-ӿ]{4,}$")
+_FILE_END = re.compile(r"[\d_]\S*?([^A-Za-z][A-Za-z]{2,})[^\w\s]*$")
 _TAIL = re.compile(r"[A-Za-zÀ-ӿ]+$")
 _NUMBER = re.compile(r"\W*\d+\W+$")
 _WIDE_WORD = re.compile(rf"([가-힣]{{3}})|[{WIDE}]{{3}}")
@@ -221,7 +225,9 @@ class Segmenter:
         """The first language or common rule that matches. ``langs()`` names the languages at the place; it is asked only if a language's table has a rule for the context."""
         found = self.known.get((before, after))
         if found is None:
-            found = ({k: d for k in languages() if (d := _first(k, before, after)) is not None}, bool(_first("common", before, after)))
+            by_language = {k: d for k in languages() if (d := _first(k, before, after)) is not None}
+            common = bool(_first("common", before, after))
+            found = (by_language if any(d != common for d in by_language.values()) else {}, common)  # else the languages needn't be known
             if len(self.known) < 200_000:
                 self.known[before, after] = found
         by_language, common = found
@@ -262,8 +268,19 @@ class Segmenter:
         def langs() -> tuple[str, ...]:
             return written_in(body[cuts[-1] if cuts else 0 : place], body[place : place + NEAR], body, self.lang)
 
-        for m in _PLACE.finditer(body):
-            kind, (a, b) = m.lastgroup, m.span()
+        done = 0
+        for found in _STARTS.finditer(body):
+            a = found.start()
+            if a < done:
+                continue
+            kind = "mark"
+            m = _MARK.match(body, a)
+            if m is None:
+                m = _OTHER.match(body, a)
+                if m is None:
+                    continue
+                kind = m.lastgroup
+            b = done = m.end()
             if kind == "line":
                 lines.append((a, b))
                 continue
@@ -358,6 +375,8 @@ def _before(body: str, a: int, b: int) -> str:
     while end and not body[end - 1].isspace():
         end -= 1
     last = body[end:b]
+    if name := _FILE_END.search(last):  # of a name with digits or underscores its last run of letters
+        return name[1] + marks
     if body[a - 1 : a].isdigit():
         if not _NUMBER.match(last):
             return "a9" + marks
