@@ -22,7 +22,7 @@ from tagloom.session import Scratch, drop_table, salted_join, small_enough, subf
 #: Items of a basket that one row of the pair generator holds, about.
 BLOCK = 64
 #: Side of the grid of pair cells, and buckets of memberships and marginals; to be raised with the data, about one cell for each 256 MB.
-GRID = 6
+GRID = 4
 #: Rows of a basket or item beyond which a join splits it.
 HOT_ROWS = 500_000
 
@@ -54,22 +54,33 @@ def _bucket(column: str | Column, n: int) -> Column:
     return F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
 
 
-def signed_pairs(members: DataFrame, block: int = BLOCK, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """(a, b, n) net pair deltas of rows (basket, item, s), each (basket, item) once: s is 1 for an added, -1 for a removed and 0 for a kept item.
+def sizes_of(members: DataFrame) -> DataFrame:
+    """(basket, n_rows, changed, had, has): memberships looked at, whether any changed, and whether the basket was and is there."""
+    some = lambda cond: F.max(F.when(F.expr(cond), 1).otherwise(0))
+    return members.groupBy("basket").agg(F.count("*").alias("n_rows"), some("s <> 0").alias("changed"), some("s <= 0").alias("had"), some("s >= 0").alias("has"))
+
+
+def signed_pairs(members: DataFrame, sizes: DataFrame, block: int = BLOCK, hot_rows: int = HOT_ROWS, all_new: bool = False) -> DataFrame:
+    """(a, b, n) net pair deltas of rows (basket, item, s), each (basket, item) once: s is 1 for an added, -1 for a removed and 0 for a kept item; ``all_new`` says that s is 1 everywhere.
 
     A pair of items counts the sign of the sum of their s: an added item makes pairs with added and kept ones, a removed item breaks those with
     removed and kept ones, and what comes never met what goes. Baskets without a change and pairs of kept items are not visited.
     """
-    sizes = members.groupBy("basket").agg(F.count("*").alias("n_rows"), F.max(F.abs("s")).alias("any"))
-    large = sizes.filter(F.col("n_rows") > block).select("basket", F.ceil(F.col("n_rows") / block).cast("int").alias("nb"), "n_rows", "any")
+    large = sizes.filter((F.col("n_rows") > block) | (F.col("changed") == 0)).select("basket", F.ceil(F.col("n_rows") / block).cast("int").alias("nb"), "n_rows", "changed")
     if small_enough(large):
         rows = members.join(F.broadcast(large.drop("n_rows")), "basket", "left")
     else:
         rows = salted_join(members, large, "basket", "item", "left", hot_rows)
-    rows = rows.filter(F.coalesce("any", F.lit(1)) > 0).select("basket", "item", "s", F.coalesce("nb", F.lit(1)).alias("nb"))
+    rows = rows.filter(F.coalesce("changed", F.lit(1)) > 0).select("basket", "item", "s", F.coalesce("nb", F.lit(1)).alias("nb"))
     rows = rows.withColumn("k", F.when(F.col("nb") > 1, F.pmod(F.xxhash64("item"), F.col("nb"))).otherwise(0).cast("int"))
-    listed = F.sort_array(F.collect_list(F.struct((-F.abs("s")).cast("tinyint").alias("o"), "item", "s")))  # the changed ones first
-    blocks = rows.groupBy("basket", "nb", "k").agg(listed.alias("items"), F.sum(F.abs("s")).cast("int").alias("head"))
+    if all_new:
+        listed, head = F.collect_list("item"), F.count("*").cast("int")
+        item, sign = lambda c: F.col(c), lambda: F.lit(1)
+    else:
+        listed = F.sort_array(F.collect_list(F.struct((-F.abs("s")).cast("tinyint").alias("o"), "item", "s")))  # the changed ones first
+        head = F.sum(F.abs("s")).cast("int")
+        item, sign = lambda c: F.col(f"{c}.item"), lambda: F.signum(F.col("x.s") + F.col("y.s")).cast("int")
+    blocks = rows.groupBy("basket", "nb", "k").agg(listed.alias("items"), head.alias("head"))
     own = blocks.filter("head > 0").select(F.col("items").alias("xs"), F.col("items").alias("ys"), "head", F.lit(True).alias("same"))
     # Of a basket of several blocks each goes to all cells of its row and column; the two blocks of a cell meet there.
     many = blocks.filter("nb > 1")
@@ -83,8 +94,8 @@ def signed_pairs(members: DataFrame, block: int = BLOCK, hot_rows: int = HOT_ROW
     pairs = own.unionByName(one).unionByName(two).filter("head > 0 and size(ys) > 0")
     pairs = pairs.select("ys", "same", F.posexplode(F.slice("xs", 1, F.col("head"))).alias("p", "x"))
     pairs = pairs.select("x", F.explode(F.when(F.col("same"), F.slice("ys", F.col("p") + 2, F.size("ys"))).otherwise(F.col("ys"))).alias("y"))
-    sign = F.signum(F.col("x.s") + F.col("y.s")).cast("int")
-    out = pairs.select(F.least("x.item", "y.item").alias("a"), F.greatest("x.item", "y.item").alias("b"), sign.alias("sign")).filter("sign <> 0")
+    out = pairs.select(F.least(item("x"), item("y")).alias("a"), F.greatest(item("x"), item("y")).alias("b"), sign().alias("sign"))
+    out = out if all_new else out.filter("sign <> 0")
     return out.groupBy("a", "b").agg(F.sum("sign").alias("n")).filter("n <> 0")
 
 
@@ -106,7 +117,7 @@ class PairTable:
         self.scored = Buckets(self.scratch, "cell", f"a {item}, b {item}, n bigint, n_a bigint, n_b bigint")
 
     def _cell(self, a: str, b: str) -> Column:
-        return F.concat_ws("-", _bucket(a, self.grid), _bucket(b, self.grid))
+        return _bucket(a, self.grid) * self.grid + _bucket(b, self.grid)
 
     @staticmethod
     def _values(df: DataFrame, column: str) -> set[str]:
@@ -142,14 +153,18 @@ class PairTable:
         changed = self.scratch.put(changed)
         if changed.isEmpty():
             return self
-        kept = lambda cond: F.max(F.when(F.expr(cond), 1).otherwise(0))
-        had, has = changed.groupBy("basket").agg(kept("s <= 0").alias("had"), kept("s >= 0").alias("has")).agg(F.sum("had"), F.sum("has")).first()
+        sizes = self.scratch.put(sizes_of(changed))
+        had, has = sizes.agg(F.sum("had"), F.sum("has")).first()
         self.n_baskets += has - had
 
-        deltas = self.scratch.put(signed_pairs(changed, self.block).withColumn("cell", self._cell("a", "b"))) if self.counts.paths else None
-        if deltas is None:
-            self.counts.replace(signed_pairs(changed, self.block).withColumn("cell", self._cell("a", "b")), None)
-        elif cells := self._values(deltas, "cell"):
+        deltas, cells = None, set()
+        made = signed_pairs(changed, sizes, self.block, all_new=not touched).withColumn("cell", self._cell("a", "b"))
+        if not self.counts.paths:
+            self.counts.replace(made, None)
+        else:
+            deltas = self.scratch.put(made)
+            cells = self._values(deltas, "cell")
+        if cells:
             merged = self.counts.read(cells).unionByName(deltas.drop("cell")).groupBy("a", "b").agg(F.sum("n").alias("n")).filter("n <> 0")
             self.counts.replace(merged.withColumn("cell", self._cell("a", "b")), cells)
 
@@ -157,21 +172,21 @@ class PairTable:
         if lines := self._values(moved, "bucket"):
             singles = self.singles.read(lines).unionByName(moved.drop("bucket")).groupBy("item").agg(F.sum("n").alias("n")).filter("n <> 0")
             self.singles.replace(singles.withColumn("bucket", _bucket("item", self.grid)).repartition("bucket"), lines)
-        self.dirty |= {f"{i}-{j}" for i, j in product(range(self.grid), repeat=2) if {str(i), str(j)} & lines}  # a pair's count changes only if a marginal or, with equal come and gone, its cell does
-        self.dirty |= set() if deltas is None else cells
+        # a pair's score changes only if a marginal or, where as much came as went, its own count does
+        self.dirty |= cells | {str(i * self.grid + j) for i, j in product(range(self.grid), repeat=2) if {str(i), str(j)} & lines}
 
         now = changed.filter("s >= 0").select("basket", "item")
         if touched:
             now = now.unionByName(state.join(changed.select("basket").distinct(), "basket", "left_anti"))
-        self.members.replace(now.withColumn("bucket", _bucket("basket", self.grid)), touched | (self._values(changed.select(_bucket("basket", self.grid).alias("t")), "t")))
-        self.scratch.drop(changed, deltas, moved, changes)
+        self.members.replace(now.withColumn("bucket", _bucket("basket", self.grid)), touched)
+        self.scratch.drop(changed, sizes, deltas, moved, changes)
         return self
 
     def _rescore(self) -> None:
         """Scores of the cells that changed since the last time."""
         cells, self.dirty = self.dirty, set()
         pairs = self.counts.read(cells).filter(F.col("n") >= self.min_count)
-        lines = {x for cell in cells for x in cell.split("-")}
+        lines = {str(x) for cell in cells for x in divmod(int(cell), self.grid)}
         side = self.singles.read(lines)
         if small_enough(side):
             join = lambda df, end: df.join(F.broadcast(side.select(F.col("item").alias(end), F.col("n").alias(f"n_{end}"))), end)
