@@ -86,6 +86,11 @@ def p5_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalikes.forms(names, "text", lookalikes.train(names, "text"))
 
 
+def p5_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each form with the number of rows and of different texts that look like it."""
+    return lookalikes.classes_of(p5_forms(spark, sf_dir))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalikes.same_looking_pairs(Scratch(spark, "p5").put(p5_forms(spark, sf_dir)))
 
@@ -172,6 +177,7 @@ QUERIES = {
     "p4_found": p4_found,
     "p4_terms": p4_terms,
     "p5_forms": p5_forms,
+    "p5_classes": p5_classes,
     "p5_found": p5_found,
     "p6_entities": p6_entities,
     "p6_link_kinds": p6_link_kinds,

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.llm.groups import connected
-from tagloom.llm.lookalikes import _CLASS, Model, _script
+from tagloom.llm.lookalikes import LISTED, Classes, Model, _script
 from tagloom.session import Scratch, salted_join
 
 #: Largest distance that links two points; shorter names have less.
@@ -76,13 +76,13 @@ def _kind(word: str, dotted: bool) -> str | None:
     return None
 
 
-def _in_script(word: str, script: str) -> str:
+def _in_script(word: str, script: str, classes: Classes) -> str:
     """A lone letter in the script of the name it belongs to; alone it can't tell its own."""
     letter = word.strip(".'’")
-    return next((c for c in _CLASS.get(letter, ()) if _script(c) == script), letter) if len(letter) == 1 else word
+    return next((c for c in classes.get(letter, ()) if _script(c) == script), letter) if len(letter) == 1 else word
 
 
-def points(name: str | None) -> list[tuple[str, str, str]]:
+def points(name: str | None, classes: Classes = LISTED) -> list[tuple[str, str, str]]:
     """(use, a, b) of a name: use 'm' joins by the metric, 'r' is a name with its middle names left out, 'i' an initial (and that of a middle name) with a family name, 'n' a quoted nickname with the given name."""
     if not name or _COUNTER.search(name.strip()):
         return []
@@ -97,7 +97,7 @@ def points(name: str | None) -> list[tuple[str, str, str]]:
     else:
         words, ordered = _SPLIT.split(_CAMEL.sub(" ", name) if not _SPLIT.search(name) else name), False
     main = _script(max(words, key=len)[:1] or " ")
-    words = [_in_script(w, main) for w in words]
+    words = [_in_script(w, main, classes) for w in words]
     marked = [(_bare(w.replace("/", "")).strip(".'’"), "." in w or "/" in w) for w in words]
     marked = [(w, dot) for w, dot in marked if w and w not in TITLES]
     kinds = [k for w, dot in marked if (k := _kind(w, dot))]
@@ -329,14 +329,12 @@ def _linked_parts(rows: DataFrame, key: str, texts: list[str], nicknames: DataFr
     """(key, entity), and the links of each kind: metric between points, the others between entities."""
     spark: SparkSession = rows.sparkSession
     scratch = Scratch(spark, "variants")
-    shared = spark.sparkContext.broadcast((model.known, model.unseen, model.floor))
+    shared = spark.sparkContext.broadcast(model)
 
     def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tool = Model.__new__(Model)
-        tool.known, tool.unseen, tool.floor = shared.value
-        tool.words = {}
+        tool = shared.value
         for frame in frames:
-            out = [(k, *p) for k, text in zip(frame["key"], frame["text"]) for p in points(tool.form(text))]
+            out = [(k, *p) for k, text in zip(frame["key"], frame["text"]) for p in points(tool.form(text), tool.classes)]
             yield pd.DataFrame(out, columns=["key", "use", "a", "b"])
 
     text = F.coalesce(*[F.when(F.trim(c) != "", F.col(c)) for c in texts], F.col(key))

@@ -174,10 +174,27 @@ SAME = [
 OTHER = [("Kokobo Sir", "Kokobo Sìr"), ("Kokobo Sir", "kokobo Sir"), ("Kokobo Sir", "KokoboSir"), ("Kokobo Sir", "Kokobo Sin"), ("ハ", "バ"), ("x²", "x2")]
 
 
+SAME += [
+    ("non‑breaking", "non-breaking"), ("ꓮnna", "Anna"), ("Ꭺnna", "Anna"), ("Kⲟkobo", "Kokobo"), ("𝐀nna 𝒙", "Anna x"), ("ısir", "isir"), ("Zürich", "Zürich"), ("Zu̇", "Zu̇"), ("①②", "12"),
+]
+OTHER += [("คน", "ดน"), ("土田", "士田"), ("Σοφία", "Οοφία"), ("σοφία", "οοφία"), ("각", "가"), ("Il", "ll"), ("O0", "OO"), ("Kokobo", "Kokoho"), ("a'b", "a`b"), ("x₂", "x2"), ("´a", "a")]
+
+
 @pytest.fixture(scope="module")
-def model():
-    counts = Counter(b for n in NAMES * 5 for w in lookalikes.visible(n).split() for b in lookalikes.bigrams(w))
-    return lookalikes.Model(counts)
+def model(spark):
+    classes = lookalikes.confusables(spark)
+    counts = Counter(b for n in NAMES * 5 for w in lookalikes.visible(n).split() for b in lookalikes.bigrams(w, classes))
+    return lookalikes.Model(counts, classes)
+
+
+def test_p5_classes_hold_one_letter_of_a_script(spark):
+    classes = lookalikes.confusables(spark)
+    assert len(classes) > 500 and all(classes[c][: len(m)] == m for c, m in lookalikes.LISTED.items())
+    for members in set(classes.values()):
+        assert all(classes[c] == members for c in members) and len({c.isupper() for c in members if c.isupper() or c.islower()}) <= 1
+        scripts = Counter(lookalikes._script(c) for c in members if c.isalpha() and c not in lookalikes.LISTED)
+        assert not scripts or max(scripts.values()) == 1
+        assert sum(c.isascii() for c in members) <= 1
 
 
 def test_p5_forms(model):
@@ -202,6 +219,8 @@ def test_p5_pairs(spark):
     for hot in (1, 50_000):
         pairs = lookalikes.same_looking_pairs(lookalikes.forms(df.drop("salts"), "text", lookalikes.train(df, "text")).distinct(), hot)
         assert rows(pairs) == [("f", 1, 2), ("f", 1, 4), ("f", 2, 3), ("f", 2, 4), ("f", 3, 4)]
+    sizes = lookalikes.classes_of(lookalikes.forms(df.distinct(), "text", lookalikes.train(df, "text")))
+    assert rows(sizes) == [("f", "", 1, 1), ("f", "A b", 4, 3), ("f", "A c", 1, 1), ("g", "A b", 1, 1)]
     none = df.limit(0)
     assert lookalikes.same_looking_pairs(lookalikes.forms(none, "text", lookalikes.train(none, "text"))).count() == 0
 
