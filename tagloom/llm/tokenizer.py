@@ -4,7 +4,7 @@ A text is cut into words by the tokenizer's pattern. A word becomes its bytes, o
 merges are folded over their ids with higher-order functions: each step joins the leftmost pair of lowest rank, whose rank is the new id, and looks
 up only the two pairs that this makes. Ranks are a literal perfect-hash map, so a look-up reads two array slots.
 
-The most frequent ``KNOWN_WORDS`` distinct words of the whole corpus are folded once and become a second literal of the same kind; any other word is
+The most frequent distinct words of the whole corpus, up to ``KNOWN_WORDS``, are folded once and become a second literal of the same kind; any other word is
 folded where it stands. That bound only decides where a word is folded, the ids are the same. So the texts are never shuffled, only
 the distinct words are, counted on the map side first.
 
@@ -25,6 +25,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tagloom.session import Scratch
+
 #: Where the vocabulary files are, unless the caller names another folder.
 FOLDER = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -183,19 +185,31 @@ class Tokenizer:
         return F.flatten(F.transform(pieces, self._fold))
 
     def known_words(self, docs: DataFrame, text: str, limit: int = KNOWN_WORDS) -> Known | None:
-        """The literal of the most frequent distinct words, counted over all texts, each folded once."""
+        """The literal of the most frequent distinct words, counted over all texts, each folded once.
+
+        All words as frequent as the rarest listed one are in it, so no task has to sort or choose: a histogram of the counts, of bounded
+        size, gives the least count that at most ``limit`` words reach.
+        """
         each = docs.select(F.explode(self.words(F.col(text))).alias("word"))
-        top = each.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(limit)
+        counted = Scratch(docs.sparkSession, "words").put(each.groupBy("word").agg(F.count("*").alias("n")))
+        step = F.when(F.col("n") < 1024, F.col("n")).otherwise(1024 + F.floor(F.log2(F.col("n") / 1024) * 16)).cast("int")
+        found, least = 0, None
+        for row in counted.groupBy(step.alias("step")).agg(F.count("*").alias("words"), F.min("n").alias("n")).orderBy(F.desc("step")).collect():  # at most about 1,900 rows
+            found += row["words"]
+            if found > limit:
+                break
+            least = row["n"]
+        if least is None:
+            return None
         spread = max(1, min(64, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "64"))))
-        ids = top.select("word").repartition(spread).select("word", self.encode_word(F.col("word")).alias("ids")).collect()
+        ids = counted.filter(F.col("n") >= least).select("word").repartition(spread).select("word", self.encode_word(F.col("word")).alias("ids")).collect()
         return Known({r["word"]: r["ids"] for r in ids}) if ids else None
 
     def encode(self, docs: DataFrame, text: str, out: str = "ids", limit: int = KNOWN_WORDS) -> DataFrame:
         """Adds the ids of ``text`` to every row."""
         known = self.known_words(docs, text, limit)
-        if known is None:
-            return docs.withColumn(out, F.expr("cast(array() as array<int>)"))
-        ids = F.flatten(F.transform(self.words(F.col(text)), lambda w: F.coalesce(known(w), self.encode_word(w))))
+        one = self.encode_word if known is None else lambda w: F.coalesce(known(w), self.encode_word(w))
+        ids = F.flatten(F.transform(self.words(F.col(text)), one))
         return docs.withColumn(out, F.coalesce(ids, F.expr("cast(array() as array<int>)")))
 
     def decode(self, ids: Column) -> Column:

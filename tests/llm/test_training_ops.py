@@ -322,7 +322,7 @@ def test_p7_ids_and_round_trip(spark, reference):
     texts = ["".join(rnd.choice(pool) for _ in range(rnd.randint(1, 25))) for _ in range(60)] + ["日本" * 3000, "x" * 400, "", None, " ", "a"]
     t = Tokenizer()
     df = spark.createDataFrame([(i, x, "c") for i, x in enumerate(texts)], "doc_id long, text string, word string")
-    for limit in (5, 40_000):
+    for limit in (0, 5, 40_000):
         out = t.encode(df, "text", limit=limit).select("doc_id", "ids", t.decode(F.col("ids")).alias("back")).collect()
         for r in out:
             text = texts[r["doc_id"]] or ""
