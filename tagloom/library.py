@@ -47,6 +47,8 @@ PROJECTIONS = {
     "album_media": "select distinct 3000000 + o_custkey as album_id, o_orderkey as media_id from {orders}",
     "tag_aliases": """select concat('old_', name) as alias_name, id as target_tag_id from {tags} where id % 5 = 0
         union all select concat('alt_', name), id from {tags} where id % 15 = 0""",
+    "name_aliases": """select concat('nick_', name) as a, concat('alt_', name) as b from {tags} where id % 15 = 0
+        union all select concat('short_', name), concat('nick_', name) from {tags} where id % 30 = 0""",
     "implication_targets": """select id as rule_id, id as tag_id from {tags} where id % 7 = 0
         union all select id, id + 1 from {tags} where id % 21 = 0""",
     "implication_implied": "select id as rule_id, id + 2 as tag_id from {tags} where id % 7 = 0 union all select id, id + 5 from {tags} where id % 14 = 0",
@@ -103,14 +105,15 @@ class Library:
             self.given[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
         return self.given[name]
 
-    def _clean(self, name: str, source: str, make, *by: str) -> DataFrame:
+    def prepared(self, name: str, source: str, make, *by: str) -> DataFrame:
+        """What ``make()`` gives, written once for a state of the raw table ``source`` that it comes from, in ranges of the columns ``by``."""
         if source in self.framed:
             return make()
         return Prepared.of(self.spark, self.folder).table(self.spark, name, f"{self.folder}/{source}.parquet", make, *by)
 
     @cached_property
     def media(self) -> DataFrame:
-        return self._clean("media", "media", lambda: latest_media(self.raw("media")), "id")
+        return self.prepared("media", "media", lambda: latest_media(self.raw("media")), "id")
 
     @property
     def tags(self) -> DataFrame:
@@ -119,12 +122,12 @@ class Library:
     @cached_property
     def edges(self) -> DataFrame:
         """Edges in ranges of media_id."""
-        return self._clean("edges", "media_tags", lambda: distinct_edges(self.raw("media_tags")), "media_id", "tag_id")
+        return self.prepared("edges", "media_tags", lambda: distinct_edges(self.raw("media_tags")), "media_id", "tag_id")
 
     @cached_property
     def edges_by_tag(self) -> DataFrame:
         """The same edges in ranges of tag_id."""
-        return self._clean("edges_by_tag", "media_tags", lambda: self.edges, "tag_id", "media_id")
+        return self.prepared("edges_by_tag", "media_tags", lambda: self.edges, "tag_id", "media_id")
 
     def edges_of(self, chosen: Column, *also: str) -> DataFrame:
         """(media_id, tag_id, is_suggestion, ...) of the edges of the tags a condition chooses, with the columns ``also`` of those tags.
@@ -133,6 +136,13 @@ class Library:
         """
         tags = self.tags.filter(chosen).select(F.col("id").alias("tag_id"), *also)
         ids = [r["tag_id"] for r in tags.select("tag_id").limit(LISTED_IDS + 1).collect()]
+        return self._edges_in(tags, ids, bool(also))
+
+    def edges_in(self, tags: DataFrame) -> DataFrame:
+        """The same for the tags of a frame (tag_id)."""
+        return self._edges_in(tags, [r["tag_id"] for r in tags.select("tag_id").limit(LISTED_IDS + 1).collect()], False)
+
+    def _edges_in(self, tags: DataFrame, ids: list[int], also: bool) -> DataFrame:
         edges = self.edges_by_tag.select("media_id", "tag_id", "is_suggestion")
         if len(ids) <= LISTED_IDS:
             edges = edges.filter(F.col("tag_id").isin(ids))

@@ -1,6 +1,6 @@
-"""Soft search (B26, B30 to B34): a term matches a medium by tag, source text, source name, source tag or concept.
+"""Soft search (B26, B30 to B34): a term matches a medium by tag, source text, source name, source tag, concept, or one of these names under an alias.
 
-Each term gives one union of five sets of media ids, made distinct once, and one semi or anti join; no OR of EXISTS.
+Each term gives one union of six sets of media ids, made distinct once, and one semi or anti join; no OR of EXISTS.
 """
 
 from __future__ import annotations
@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.functions import text as T
-from tagloom.library import Library
+from tagloom.library import LISTED_IDS, Library
+from tagloom.operators import graph, tagstore
 
 ACTIVE_CONCEPTS, ACTIVE_LINKS = ("active",), ("active", "materialized_identity")  # fixed values
 
@@ -30,7 +31,44 @@ def by_tags(lib: Library, term: str) -> DataFrame:
     names = _spellings(term)
     translated = lib.tag_translations.filter((F.col("status") != "rejected") & (F.lower("display_name").isin(names) | F.lower("alias").isin(names))).select(F.col("canonical_name").alias("name"))
     hit = lib.tags.select("id", "name").join(translated, "name", "left_semi").select("id").union(lib.tags.filter(F.lower("name").isin(names) | F.startswith(F.lower("name"), F.lit(term_key(term) + "_("))).select("id"))
-    return lib.edges.filter("not is_suggestion").join(hit.distinct().select(F.col("id").alias("tag_id")), "tag_id", "left_semi").select("media_id")
+    return lib.edges_in(hit.distinct().select(F.col("id").alias("tag_id"))).filter("not is_suggestion").select("media_id")
+
+
+def alias_relation(lib: Library) -> DataFrame:
+    """(a, b), keys of names that stand for each other, in both directions: aliases of tags, translations that aren't rejected, aliases of source names."""
+    tags = lib.tag_aliases.join(lib.tags.select(F.col("id").alias("target_tag_id"), "name"), "target_tag_id").select(F.col("alias_name").alias("a"), F.col("name").alias("b"))
+    shown = lib.tag_translations.filter("status <> 'rejected'").select("display_name", "canonical_name")
+    keys = tags.union(shown).union(lib.name_aliases.select("a", "b")).select(T.canonical_key(F.col("a")).alias("a"), T.canonical_key(F.col("b")).alias("b")).dropna()
+    return keys.union(keys.select("b", "a")).distinct()
+
+
+def alias_keys(lib: Library, term: str, rounds: int = 2) -> list[str] | DataFrame:
+    """Keys that the alias relation reaches from a term in at most ``rounds`` steps; a frame (key) if they are more than ``LISTED_IDS``."""
+    relation = lib.prepared("alias_keys", "tags", lambda: alias_relation(lib), "a", "b")
+    own = term_key(term)
+    found, last = {own}, [own]
+    for _ in range(rounds):
+        near = [r["b"] for r in relation.filter(F.col("a").isin(last)).select("b").distinct().limit(LISTED_IDS + 1).collect()]
+        if len(near) > LISTED_IDS:
+            reached = graph.expand(lib.spark.createDataFrame([(own,)], "key string"), relation, rounds)
+            return reached.filter("hops > 0").select("key").distinct()
+        last = sorted(set(near) - found)
+        found |= set(last)
+        if not last:
+            break
+    return sorted(found - {own})
+
+
+def by_aliases(lib: Library, term: str, review: bool = False, rounds: int = 2) -> DataFrame:
+    """Confirmed tags and assertions under any name that the alias relation reaches from the term in at most ``rounds`` steps, read both ways."""
+    keys = alias_keys(lib, term, rounds)
+    if isinstance(keys, list):
+        named = lambda df, column: df.filter(column.isin(keys))
+    else:
+        named = lambda df, column: df.join(keys, column == keys["key"], "left_semi")
+    tags = named(lib.prepared("tag_keys", "tags", lambda: lib.tags.select("id", T.canonical_key(F.col("name")).alias("name_key")), "name_key"), F.col("name_key")).select(F.col("id").alias("tag_id"))
+    said = named(_assertions(lib, review), F.col("canonical_name_key")).select("source_metadata_record_id")
+    return lib.edges_in(tags).filter("not is_suggestion").select("media_id").union(said.join(_records(lib), "source_metadata_record_id").select("media_id"))
 
 
 def _records(lib: Library) -> DataFrame:
@@ -74,7 +112,7 @@ def by_concepts(lib: Library, term: str, review: bool = False) -> DataFrame:
 
 def media_of(lib: Library, term: str, review: bool = False) -> DataFrame:
     """All media ids a term matches, once."""
-    sets = [by_tags(lib, term), by_text(lib, term, review), by_names(lib, term, review), by_source_tags(lib, term), by_concepts(lib, term, review)]
+    sets = [by_tags(lib, term), by_text(lib, term, review), by_names(lib, term, review), by_source_tags(lib, term), by_concepts(lib, term, review), by_aliases(lib, term, review)]
     return reduce(DataFrame.union, sets).distinct()
 
 
@@ -129,6 +167,21 @@ def resolve_term(aliases: dict[str, list[str]], revoked: set[str], static: dict[
     return targets[0] if len(targets) == 1 else term if targets else static.get(key, term)
 
 
+def resolve_terms(terms: DataFrame, translations: DataFrame, static: DataFrame | None = None) -> DataFrame:
+    """(term, resolved) of each term: its one target among trusted translations, by the text itself or its key; several targets leave it, and without any the
+    static dictionary (text, name) may."""
+    aliases = tagstore.alias_map(translations).select("alias", F.explode("targets").alias("target"))
+    asked = terms.select("term").filter("term is not null").distinct().withColumns({"text": F.lower("term"), "key": T.canonical_key(F.col("term"))})
+    same = asked.join(aliases, F.col("text") == F.col("alias")).select("term", "target")
+    alike = asked.join(aliases.select(T.canonical_key(F.col("alias")).alias("key"), "target").filter("key <> ''").distinct(), "key").select("term", "target")
+    found = same.union(alike).groupBy("term").agg(F.count_distinct("target").alias("n"), F.min("target").alias("target"))
+    out = asked.join(found, "term", "left")
+    if static is not None:
+        out = out.join(static.select("text", F.col("name").alias("__static")), "text", "left")
+    other = F.col("__static") if static is not None else F.lit(None).cast("string")
+    return out.select("term", F.when(F.col("n") == 1, F.col("target")).when(F.col("n") > 1, F.col("term")).otherwise(F.coalesce(other, "term")).alias("resolved"))
+
+
 def like(column: Column, text: str) -> Column:
     """column contains text, its own wildcards taken literally."""
     return F.contains(F.lower(column), F.lit(text.lower()))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tagloom.operators import evidence as V, resolve as R, soft_search as S
 from tagloom.operators.stats import top_per_group
+from tagloom.plans.function_queries import key_sql
 from tagloom.plans.registry import registry
 from tagloom.session import Scratch
 
@@ -14,7 +15,16 @@ QUERIES, ORACLE, query = registry()
 _TERM, _TERM2 = "mibelmi lanebo julpidir", "harbor_lantern"
 
 
-def _five(term: str, key: str, review: bool = False) -> str:
+_ALIASES = f"""rel as (select alias_name as x, name as y from tag_aliases join t on t.id = target_tag_id union all select display_name, canonical_name from tag_translations where status <> 'rejected' union all select a, b from name_aliases),
+  sym as (select {key_sql('x')} as a, {key_sql('y')} as b from rel union select {key_sql('y')}, {key_sql('x')} from rel)"""
+
+
+def _hops(name: str, key: str) -> str:
+    """Keys that two steps of the alias relation reach."""
+    return f"{name} as (select b as k from sym where a = '{key}' union select y.b from sym x join sym y on x.b = y.a where x.a = '{key}')"
+
+
+def _five(term: str, key: str, review: bool = False, hops: str = "hops") -> str:
     says = "('searchable_active', 'needs_review')" if review else "('searchable_active')"
     is_on = "('active', 'needs_review')" if review else "('active')"
     spaced = key.replace("_", " ")
@@ -22,27 +32,38 @@ def _five(term: str, key: str, review: bool = False) -> str:
     return f"""(select media_id from e join t on t.id = tag_id where not is_suggestion and (lower(name) in {names} or starts_with(lower(name), '{key}_(') or name in (select canonical_name from tag_translations where status <> 'rejected' and (lower(display_name) in {names} or lower(alias) in {names})))
   union select r.media_id from source_assertions s join source_metadata_records r on r.id = s.source_metadata_record_id where r.media_id is not null and s.status in {says} and (lower(raw_input) = '{term}' or lower(normalized_input) = '{term}' or canonical_name_key = '{key}')
   union select media_id from signals where origin_type = 'source_tag_observation' and normalized_key = '{key}' and status <> 'rejected' and media_id is not null
-  union select g.media_id from concepts c join signal_links l on l.concept_id = c.id join signals g on g.id = l.signal_id where c.status in {is_on} and l.link_status in ('active', 'materialized_identity') and l.negative_reason_code is null and g.media_id is not null and (lower(primary_display_name) = '{term}' or split_part(concept_key, ':', 1) = '{key}'))"""
+  union select g.media_id from concepts c join signal_links l on l.concept_id = c.id join signals g on g.id = l.signal_id where c.status in {is_on} and l.link_status in ('active', 'materialized_identity') and l.negative_reason_code is null and g.media_id is not null and (lower(primary_display_name) = '{term}' or split_part(concept_key, ':', 1) = '{key}')
+  union select media_id from e join t on t.id = tag_id where not is_suggestion and {key_sql('name')} in (select k from {hops} where k <> '{key}')
+  union select r.media_id from source_assertions s join source_metadata_records r on r.id = s.source_metadata_record_id where r.media_id is not null and s.status in {says} and canonical_name_key in (select k from {hops} where k <> '{key}'))"""
 
 
 _KEY = "mibelmi_lanebo_julpidir"
 
 
-@query("b31_soft_search", f"select id from m where id in {_five(_TERM, _KEY)}")
+@query("b31_soft_search", f"select id from m where id in {_five(_TERM, _KEY)}", _ALIASES, _hops("hops", _KEY))
 def _(lib):
     return S.search(lib, [_TERM], []).select("id")
 
 
-@query("b31_soft_search_excluded", f"select id from m where id in {_five(_TERM2, _TERM2)} and id not in {_five('lantern_set', 'lantern_set')}")
+@query("b31_soft_search_excluded", f"select id from m where id in {_five(_TERM2, _TERM2)} and id not in {_five('lantern_set', 'lantern_set', hops='gone')}", _ALIASES, _hops("hops", _TERM2), _hops("gone", "lantern_set"))
 def _(lib):
     return S.search(lib, [_TERM2], ["lantern_set"]).select("id")
 
 
-@query("b31_soft_search_with_review", f"select id from m where id in {_five(_TERM, _KEY, True)}")
+@query("b31_soft_search_with_review", f"select id from m where id in {_five(_TERM, _KEY, True)}", _ALIASES, _hops("hops", _KEY))
 def _(lib):
     return S.search(lib, [_TERM], [], review=True).select("id")
 
 
+# tag 15 of every size has an alias and a nickname that stands for the alias
+
+@query("b31_soft_search_two_hops", f"select distinct media_id as id from e join m on m.id = media_id join t on t.id = tag_id where not is_suggestion and {key_sql('name')} in (select y.b from sym x join sym y on x.b = y.a where x.a = (select {key_sql("'nick_' || name")} from t where id = 15))", _ALIASES)
+def _(lib):
+    """A nickname that only leads to a tag by way of another alias."""
+    name = lib.tags.filter("id = 15").first()["name"]
+    return S.search(lib, [f"nick_{name}"], []).select("id")
+
+
 @query("b30_source_filter", f"select id from m where id in (select r.media_id from source_assertions s join source_metadata_records r on r.id = s.source_metadata_record_id where s.status = 'searchable_active' and canonical_name_key = '{_KEY}')")
 def _(lib):
     return S.source_filter(lib.media, lib, [_TERM], []).select("id")

@@ -19,7 +19,7 @@ def _usual(x: str) -> str:
     return f"trim(regexp_replace(translate({x}, '{named[0]}', '{named[1]}'), '\\s+', ' ', 'g'))"
 
 
-def _key_sql(x: str) -> str:
+def key_sql(x: str) -> str:
     return f"trim(regexp_replace(regexp_replace(regexp_replace(lower({x}), '[\\s/／・·,，|]+', '_', 'g'), '[^\\p{{L}}\\p{{N}}_:()+.\\-]', '_', 'g'), '_+', '_', 'g'), '_')"
 
 
@@ -80,7 +80,7 @@ def _(lib):
 
 
 _REASONS = f"""case when x is null or x = '' then 'empty_or_invalid' when regexp_matches(x, '[a-z][a-z0-9+.-]*://') or regexp_matches(x, '^[a-zA-Z]:\\\\') or starts_with(x, '\\\\') then 'url_or_path' when regexp_matches(x, '(?i)^(r-?18|r18g|nsfw)$') then 'explicit_r18_meta'
-  when regexp_matches(x, '(?i){_COUNTED}') or regexp_matches(x, '(?i)^(users?入り|users?入|user入り)$') then 'popularity_meta' when {_key_sql('x')} in ({', '.join(f"'{k}'" for k in T.DESCRIPTIVE_KEYS)}) then 'descriptive_general' end"""
+  when regexp_matches(x, '(?i){_COUNTED}') or regexp_matches(x, '(?i)^(users?入り|users?入|user入り)$') then 'popularity_meta' when {key_sql('x')} in ({', '.join(f"'{k}'" for k in T.DESCRIPTIVE_KEYS)}) then 'descriptive_general' end"""
 
 
 @query("h09_rejections", f"select id, {_REASONS} as reason from (select id, {_usual('raw_input')} as x from source_assertions)")

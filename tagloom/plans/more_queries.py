@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tagloom.functions import text as T
 from tagloom.operators import evidence as V, soft_search as S, sync as L, tagstore as G
 from tagloom.plans import flow_queries
+from tagloom.plans.function_queries import key_sql
 from tagloom.plans.registry import registry
 from tagloom.plans.store_queries import _ACT, _REVIEWED, _actions
 from tagloom.sources import exchange as X
@@ -48,6 +49,19 @@ def _(lib):
     return trusted.select("a", F.when(F.col("n") == 1, F.col("target")).otherwise(F.col("a")).alias("resolved"))
 
 
+_TRUSTED = """trusted as (select lower(unnest([display_name, alias])) as alias, canonical_name, case source when 'manual' then 0 when 'static' then 1 when 'llm' then 2 when 'imported' then 3 else 99 end as p from tag_translations
+  where status <> 'rejected' and (coalesce(category, '') not in ('artist', 'character', 'copyright') or source in ('manual', 'static') or (status = 'reviewed' and not needs_review))),
+  best as (select distinct alias, canonical_name from trusted x where p = (select min(p) from trusted y where y.alias = x.alias)), asked as (select distinct unnest([upper(alias), display_name, replace(alias, '_', ' ')]) as term from tag_translations)"""
+
+
+@query("b26_trusted_terms", f"select term, case when n = 1 then target else term end as resolved from (select term, count(distinct canonical_name) as n, min(canonical_name) as target from (select term, canonical_name from asked left join best on lower(term) = alias union all select term, canonical_name from asked join best on {key_sql('term')} = {key_sql('alias')}) group by 1)", _TRUSTED)
+def _(lib):
+    """All spellings of all translations, resolved by the trusted ones alone."""
+    t = lib.tag_translations
+    asked = t.select(F.explode(F.array(F.upper("alias"), "display_name", F.replace("alias", F.lit("_"), F.lit(" ")))).alias("term"))
+    return S.resolve_terms(asked, t)
+
+
 @query("b28_like_literals", "select id, name from t where contains(name, '_(') or contains(name, '%')")
 def _(lib):
     return lib.tags.filter(S.like(F.col("name"), "_(") | S.like(F.col("name"), "%")).select("id", "name")
