@@ -60,10 +60,15 @@ class Engine:
 
     def search(self, q: str, mode: str = "soft", rating: str | None = None, content_class: str | None = None, sort: str | None = None, page: int = 1, limit: int = 30) -> Page:
         """One page; an order in the query beats the request's sort."""
+        return self._page(self.found(q, mode, rating, content_class), self.keys(q, sort), page, limit)
+
+    def keys(self, q: str, sort: str | None = None) -> list:
+        """The sort keys of a request."""
         query = L.parse(q, self.aliases)
         ordered = "order" in query.meta or "sort" in query.meta
-        keys = S.order(query) if ordered or sort is None else self._sort(sort, None)
-        return self._page(self.found(q, mode, rating, content_class), keys, page, limit)
+        if ordered:
+            return S.order(query)
+        return self._sort(sort or "uploaded_at", None) if sort else S.order(query, "uploaded_at")
 
     def random(self, q: str, seed: int, mode: str = "soft") -> DataFrame:
         """One medium of a query, drawn by a seed."""

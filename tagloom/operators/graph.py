@@ -15,18 +15,19 @@ PASSES = 10
 def closure(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(top, node) of every node reachable from top over (parent, child), top itself included; ends on circles and diamonds alike.
 
-    Semi-naive: only pairs found in the last round are extended.
+    By doubling: round k extends the pairs that were new in the last round, which are 2^(k-1) steps apart, by all pairs known, so a chain of n nodes takes log n rounds.
     """
     scratch = Scratch(nodes.sparkSession, "closure")
-    kind = nodes.select(F.col("node").alias("top"), "node")
-    known = [scratch.write(kind)]
-    fresh = scratch.read(known[0], kind)
+    steps = edges.filter("parent is not null and child is not null").select(F.col("parent").alias("top"), F.col("child").alias("node")).distinct()
+    own = nodes.select("node").union(steps.select("top")).union(steps.select("node")).filter("node is not null").distinct()
+    kind = own.select(F.col("node").alias("top"), "node")
+    known = [scratch.write(kind), scratch.write(steps.filter("top <> node"))]
     while True:
-        step = fresh.join(edges, fresh["node"] == edges["parent"]).select("top", F.col("child").alias("node")).distinct()
+        fresh, all_pairs = scratch.read(known[-1], kind), scratch.read(known[1:], kind)
+        step = fresh.withColumnRenamed("node", "mid").join(all_pairs.withColumnRenamed("top", "mid"), "mid").select("top", "node").distinct()
         path = scratch.write(step.join(scratch.read(known, kind), ["top", "node"], "left_anti"))
-        fresh = scratch.read(path, kind)
-        if fresh.isEmpty():
-            return scratch.read(known, kind)
+        if scratch.read(path, kind).isEmpty():
+            return scratch.read(known, kind).join(nodes.select(F.col("node").alias("top")).distinct(), "top", "left_semi")
         known.append(path)
 
 
@@ -69,12 +70,16 @@ def implied(edges: DataFrame, targets: DataFrame, implied_tags: DataFrame, passe
     edges: (media_id, tag_id), distinct; targets and implied_tags: (rule_id, tag_id), rules of few rows each.
     """
     scratch = Scratch(edges.sparkSession, "implied")
-    sizes = targets.groupBy("rule_id").agg(F.count_distinct("tag_id").alias("wanted"))
-    rules = targets.distinct().join(sizes, "rule_id")
+    rules = targets.distinct()
+    rules = scratch.put(rules.join(rules.groupBy("rule_id").agg(F.count("*").alias("wanted")), "rule_id"))
+    # only tags that a rule names can matter
+    used = rules.select("tag_id").union(implied_tags.select("tag_id")).distinct()
     kind = edges.select("media_id", "tag_id", F.lit(0).alias("pass"))
-    known = [scratch.write(kind)]
+    known = [scratch.write(kind.join(used, "tag_id", "left_semi").select(*kind.columns))]
     for n in range(1, passes + 1):
         have = scratch.read(known, kind)
+        if n > 1:  # a rule can only fire anew where the last pass added a tag
+            have = have.join(scratch.read(known[-1], kind).select("media_id").distinct(), "media_id", "left_semi").select(*kind.columns)
         fired = have.join(rules, "tag_id").groupBy("media_id", "rule_id", "wanted").agg(F.count("*").alias("n")).filter("n = wanted")
         new = fired.join(implied_tags, "rule_id").select("media_id", "tag_id").distinct().join(have, ["media_id", "tag_id"], "left_anti").withColumn("pass", F.lit(n))
         path = scratch.write(new.select("media_id", "tag_id", "pass"))
@@ -94,6 +99,9 @@ def components(edges: DataFrame, hot_rows: int = 500_000) -> DataFrame:
     pairs = edges.select("a", "b").filter("a is not null and b is not null and a <> b")
     now = scratch.put(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     nodes = scratch.put(now.select(F.col("u").alias("node")).union(now.select("v")).distinct())
+    # rows of a round are distinct, so their number and two sums of hashes tell whether any moved
+    state = lambda df: tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.hash("u", "v").cast("bigint"))).first())
+    before = state(now)
     while True:
         both = now.select("u", "v").union(now.select("v", "u")).toDF("u", "v")
         low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n_rows")).select("u", F.least("u", "m").alias("m"), "n_rows")
@@ -102,9 +110,8 @@ def components(edges: DataFrame, hot_rows: int = 500_000) -> DataFrame:
         small = salted_join(large, low, "u", "v", hot_rows=hot_rows)
         small = small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         then = scratch.put(small)
-        same = then.join(now, ["u", "v"], "left_anti").isEmpty() and now.join(then, ["u", "v"], "left_anti").isEmpty()
         scratch.drop(now)
-        now = then
-        if same:
+        now, was, before = then, before, state(then)
+        if was == before:
             roots = now.groupBy("u").agg(F.min("v").alias("root"))
             return nodes.join(roots, nodes["node"] == roots["u"], "left").select("node", F.coalesce("root", "node").alias("root"))

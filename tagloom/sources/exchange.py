@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tagloom.session import _path, drop_table
+
 from tagloom.library import Library
 
 # Category codes of tag files, admissible file types.
@@ -73,17 +75,29 @@ def scan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def admissible(files: DataFrame) -> DataFrame:
-    """Adds the first reason against a file, null if it may be imported."""
+    """Adds the first reason against a file, null if it may be imported; is_link and is_file count where the listing has them."""
     name = F.lower(F.element_at(F.split("path", "/"), -1))
     ext = F.regexp_extract(name, r"\.([^.]+)$", 1)
-    reason = F.when(F.startswith(name, F.lit(".")), "hidden").when(F.endswith(name, F.lit(".icloud")), "cloud_placeholder").when(~ext.isin(*EXTENSIONS), "unsupported_extension").when(F.col("length").isNull(), "stat_error").when(F.col("length") == 0, "zero_byte_file").when(F.col("length") > MAX_BYTES, "too_large")
+    reason = F.when(F.startswith(name, F.lit(".")), "hidden").when(F.endswith(name, F.lit(".icloud")), "cloud_placeholder")
+    if "is_link" in files.columns:
+        reason = reason.when(F.col("is_link"), "symlink")
+    if "is_file" in files.columns:
+        reason = reason.when(~F.col("is_file"), "not_a_file")
+    reason = reason.when(~ext.isin(*EXTENSIONS), "unsupported_extension").when(F.col("length").isNull(), "stat_error").when(F.col("length") == 0, "zero_byte_file").when(F.col("length") > MAX_BYTES, "too_large")
     return files.withColumn("reason", reason)
 
 
-def untracked(files: DataFrame, media: DataFrame) -> DataFrame:
-    """Admissible files whose path and name no medium has; hashes, the costly test, come last and only for these."""
+def preflight(files: DataFrame) -> DataFrame:
+    """(n_files, n_admissible, n_bytes) of a listing; no file is read."""
+    ok = F.col("reason").isNull()
+    return admissible(files).agg(F.count("*").alias("n_files"), F.count_if(ok).alias("n_admissible"), F.coalesce(F.sum(F.when(ok, F.col("length"))), F.lit(0)).cast("bigint").alias("n_bytes"))
+
+
+def untracked(files: DataFrame, media: DataFrame, file_hash: str | None = None) -> DataFrame:
+    """Admissible files whose path and name no medium has, nor their hash, where there is one; hashes, the costly test, come last."""
     named = files.filter("reason is null").withColumn("filename", F.element_at(F.split("path", "/"), -1))
-    return named.join(media.select("path"), "path", "left_anti").join(media.select("filename"), "filename", "left_anti")
+    left = named.join(media.select("path"), "path", "left_anti").join(media.select("filename"), "filename", "left_anti")
+    return left.join(media.select(F.col("hash").alias(file_hash)), file_hash, "left_anti") if file_hash else left
 
 
 def provider_pages(records: DataFrame) -> DataFrame:
@@ -116,19 +130,38 @@ def checksum(df: DataFrame) -> DataFrame:
 
 
 class Cached:
-    """Results kept as tables under the version of their sources, so a changed source never serves an old result."""
+    """Results kept as tables under their name and the version of their sources, so a changed source never serves an old result.
+
+    A result is made again after ``seconds``; ``invalidate`` drops all whose name starts with a prefix. Only a result that isn't there or is too old is made, an
+    unreadable one is an error.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, seconds: float = 3600, clock=None):
+        import time
+
+        self.spark, self.folder, self.seconds, self.clock = spark, folder.rstrip("/"), seconds, clock or time.time
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
+    def _names(self) -> list[str]:
+        fs, path = _path(self.spark, self.folder)
+        return [f.getPath().getName() for f in fs.listStatus(path)] if fs.exists(path) else []
 
     def get(self, name: str, version: str, make) -> DataFrame:
-        path = f"{self.folder}/{name}/{version}"
-        try:
-            return self.spark.read.parquet(path)
-        except Exception:  # not there yet
-            df = make()
-            df.write.mode("overwrite").parquet(path)
-            return self.spark.read.schema(df.schema).parquet(path)
+        import hashlib
+        from urllib.parse import quote
+
+        path = f"{self.folder}/{quote(name, safe='')}/{hashlib.md5(version.encode()).hexdigest()}"
+        fs, done = _path(self.spark, f"{path}/_SUCCESS")
+        if not fs.exists(done) or self.clock() - fs.getFileStatus(done).getModificationTime() / 1000 >= self.seconds:
+            make().write.mode("overwrite").parquet(path)
+        return self.spark.read.parquet(path)
+
+    def invalidate(self, prefix: str = "") -> int:
+        """Drops the results of names with a prefix; how many names there were."""
+        from urllib.parse import unquote
+
+        gone = [n for n in self._names() if unquote(n).startswith(prefix)]
+        drop_table(self.spark, *(f"{self.folder}/{n}" for n in gone))
+        return len(gone)
 
 
 def image_size(files: DataFrame) -> DataFrame:

@@ -300,10 +300,29 @@ def test_a19_a20_a21_dictionary_cache_report(spark, tmp_path):
     keep = exchange.Cached(spark, str(tmp_path / "cache"))
     make = lambda: made.append(1) or spark.createDataFrame([(1,)], "v int")
     assert [keep.get("q", v, make).count() for v in ("1", "1", "2")] == [1, 1, 1] and len(made) == 2
+    late = exchange.Cached(spark, str(tmp_path / "cache"), clock=lambda: __import__("time").time() + 3601)
+    assert late.get("q", "1", make).count() == 1 and len(made) == 3  # too old
+    assert keep.invalidate("r") == 0 and keep.invalidate("q") == 1 and keep.get("q", "1", make).count() == 1 and len(made) == 4
     df = spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string")
     assert rows(exchange.write_report(df, str(tmp_path / "r"), "csv")) == rows(exchange.checksum(df.orderBy(F.desc("id"))))
 
 
+def test_a18_second_store(spark):
+    """A table of another database, here Derby in memory, which Spark brings along."""
+    url, options = "jdbc:derby:memory:second;create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    df = spark.createDataFrame([(1, "cat"), (2, None)], "id int, name string")
+    df.write.format("jdbc").options(url=url, dbtable="tags", **options).mode("overwrite").save()
+    assert rows(exchange.second_store(spark, url, "tags", **options).select("ID", "NAME")) == [(1, "cat"), (2, None)]
+
+
+def test_j01_long_chain_and_part_of_the_tops(spark):
+    n = 37
+    edges = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(5, 2), (None, 1)], "parent long, child long")
+    nodes = spark.createDataFrame([(0,), (30,), (99,)], "node long")
+    want = {(0, i) for i in range(n + 1)} | {(30, i) for i in range(30, n + 1)} | {(99, 99)}
+    assert set(rows(graph.closure(edges, nodes))) == want
+
+
 def test_streaming_late_rows_are_dropped(spark, tmp_path):
     from tagloom.streaming import library as st
 
