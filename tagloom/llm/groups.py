@@ -10,6 +10,10 @@ all null has no row; an empty input gives an empty result. Hubs that hold a larg
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +21,33 @@ from tagloom.session import Scratch, salted_join, small_enough
 
 #: Rows of one key beyond which a join splits the key into salts.
 HOT_ROWS = 500_000
+#: Edges that one task may finish, about 10 MB.
+LAST_EDGES = 100_000
+
+
+def _minimum_labels(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, labels) of a graph held in arrays: hook every node under its smallest neighbour, jump, rewrite the edges, until none is left."""
+    nodes, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = ends[: len(u)], ends[len(u) :]
+    label = np.arange(len(nodes))
+    while len(a):
+        parent = np.arange(len(nodes))
+        np.minimum.at(parent, a, b)
+        np.minimum.at(parent, b, a)
+        while not np.array_equal(parent, jumped := parent[parent]):
+            parent = jumped
+        label = parent[label]
+        a, b = parent[a], parent[b]
+        a, b = a[a != b], b[a != b]
+    return nodes, nodes[label]
+
+
+def _finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    frames = [f for f in batches if len(f)]
+    if frames:
+        edges = pd.concat(frames, ignore_index=True)
+        nodes, labels = _minimum_labels(edges["u"].to_numpy(), edges["v"].to_numpy())
+        yield pd.DataFrame({"node": nodes, "parent": labels})
 
 
 def _flatten(scratch: Scratch, parents: DataFrame, hot_rows: int | None) -> DataFrame:
@@ -34,13 +65,17 @@ def _flatten(scratch: Scratch, parents: DataFrame, hot_rows: int | None) -> Data
             return parents
 
 
-def connected(edges: DataFrame, scratch: Scratch, hot_rows: int = HOT_ROWS) -> DataFrame:
+def connected(edges: DataFrame, scratch: Scratch, hot_rows: int = HOT_ROWS, last_edges: int = LAST_EDGES) -> DataFrame:
     """(node, label) of every node of ``edges`` (u, v): label is the smallest node of its component."""
     edges = scratch.put(edges.filter("u <> v").select(F.least("u", "v").alias("v"), F.greatest("u", "v").alias("u")).distinct())
     if small_enough(edges, hot_rows // 2):  # then no key of the joins below, not even that of one giant group, has more rows than the limit
         hot_rows = None
     levels: list[DataFrame] = []
     while not edges.isEmpty():
+        if small_enough(edges, last_edges):
+            kind = edges.schema["u"].dataType.simpleString()
+            levels.append(scratch.put(edges.repartition(1).mapInPandas(_finish, f"node {kind}, parent {kind}")))
+            break
         both = edges.select(F.col("u").alias("node"), F.col("v").alias("other")).unionByName(edges.select(F.col("v").alias("node"), F.col("u").alias("other")))
         hooks = both.groupBy("node").agg(F.min("other").alias("m"), F.count("*").alias("n_rows"))
         hooks = scratch.put(hooks.select("node", F.least("node", "m").alias("parent"), "n_rows"))
@@ -67,12 +102,12 @@ def connected(edges: DataFrame, scratch: Scratch, hot_rows: int = HOT_ROWS) -> D
     return labels.select("node", F.col("parent").alias("label"))
 
 
-def consolidate(links: DataFrame, member: str, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+def consolidate(links: DataFrame, member: str, key: str, hot_rows: int = HOT_ROWS, last_edges: int = LAST_EDGES) -> DataFrame:
     """(member, group_id): members sharing a key, directly or over others, get the smallest member of their group."""
     scratch = Scratch(links.sparkSession, "groups")
     pairs = scratch.put(links.select(F.col(member).alias("member"), F.col(key).alias("key")).dropna().distinct())
     stars = pairs.groupBy("key").agg(F.min("member").alias("first"), F.count("*").alias("n_rows"))
     edges = salted_join(pairs, stars, "key", "member", "inner", hot_rows).select(F.col("member").alias("u"), F.col("first").alias("v"))
-    labels = connected(edges, scratch, hot_rows)
+    labels = connected(edges, scratch, hot_rows, last_edges)
     members = pairs.select(F.col("member")).distinct()
     return members.join(labels, members["member"] == labels["node"], "left").select(F.col("member").alias(member), F.coalesce("label", "member").alias("group_id"))

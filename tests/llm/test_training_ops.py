@@ -102,14 +102,14 @@ def brute_groups(pairs):
     return {s: best[find(("s", s))] for s, _ in pairs}
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_p3_groups(spark, seed):
+@pytest.mark.parametrize("seed, last", [(0, 0), (1, 40), (2, 100_000)])
+def test_p3_groups(spark, seed, last):
     rnd = random.Random(seed)
     pairs = [(rnd.randint(1, 80), rnd.randint(1, 90)) for _ in range(70)]
     pairs += [(200 + i, 300 + i) for i in range(60)] + [(201 + i, 300 + i) for i in range(60)]  # a long chain
     pairs += [(400 + i, 999) for i in range(40)] + pairs[:10]  # a hub and repeats
     df = spark.createDataFrame([(s, c, 1, 2) for s, c in pairs] + [(None, 1, 1, 2), (500, None, 1, 2)], "s long, c long, label long, node long")
-    assert {r["s"]: r["group_id"] for r in groups.consolidate(df, "s", "c", hot_rows=10).collect()} == brute_groups(pairs)
+    assert {r["s"]: r["group_id"] for r in groups.consolidate(df, "s", "c", hot_rows=10, last_edges=last).collect()} == brute_groups(pairs)
 
 
 def test_p3_empty(spark):
