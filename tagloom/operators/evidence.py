@@ -63,6 +63,92 @@ def signals_of(lib: Library) -> DataFrame:
     return rows.withColumn("status", F.when(T.popularity(F.col("raw_value")).isNotNull(), "rejected").otherwise(F.col("status")))
 
 
+# States of inputs that reject a signal, and categories of source tags that name nothing.
+REJECTED = ("rejected", "superseded", "blocked", "rejected_candidate")
+PLAIN_CATEGORIES = ("", "0", "general", "meta", "5")
+SIGNAL = ("signal_key", "origin_type", "media_id", "record_id", "raw_value", "role_hint", "trust_tier", "status")
+
+
+def _signal(rows: DataFrame, key: Column, origin: str, value: str, role: Column, trust: Column, status: Column) -> DataFrame:
+    """Rows as signals; media_id and record_id are null where the source has none, blank values are none."""
+    scope = [F.col(c) if c in rows.columns else F.lit(None).cast("bigint").alias(c) for c in ("media_id", "record_id")]
+    out = rows.filter(F.trim(value) != "").withColumns({"role_hint": role}).withColumns({"status_made": status, "trust_made": trust})
+    return out.select(key.alias("signal_key"), F.lit(origin).alias("origin_type"), *scope, F.col(value).alias("raw_value"), "role_hint", F.col("trust_made").alias("trust_tier"), F.col("status_made").alias("status"))
+
+
+def _key(kind: str, *parts: str) -> Column:
+    return F.concat_ws(":", F.lit(kind), *[F.col(p).cast("string") if p != p.upper() else F.lit(p.lower()) for p in parts])
+
+
+def name_observation_signals(rows: DataFrame) -> DataFrame:
+    """Signals of observed names (id, media_id, record_id, raw_name, name_role, requires_review, status)."""
+    role = T.mapped(F.lower("name_role"), T.SOURCE_ROLES, "unknown")
+    unsure = F.col("role_hint").isin("unknown", "source_title")
+    stated = T.concept_status(F.col("status"), "active")
+    status = F.when(unsure | F.coalesce("requires_review", F.lit(False)), "needs_review").otherwise(stated)
+    return _signal(rows, _key("name", "id"), "source_name_observation", "raw_name", role, F.when(unsure, "weak").when(status == "rejected", "rejected").otherwise("medium"), status)
+
+
+def tag_observation_signals(rows: DataFrame) -> DataFrame:
+    """Signals of observed source tags (media_id, tag_id, raw_tag, category, status); a name in brackets behind a tag without a role makes it a character."""
+    category = F.lower(F.coalesce(F.trim("category"), F.lit("")))
+    stated = T.mapped(category, T.SOURCE_TAG_CATEGORY_ROLES, "unknown")
+    bracketed = T.parenthetical(F.col("raw_tag"))["inner"].isNotNull()
+    role = F.when((stated == "unknown") & bracketed, "character").otherwise(stated)
+    out = (category.isin(*PLAIN_CATEGORIES) & (stated == "unknown") & ~bracketed) | T.popularity(F.col("raw_tag")).isNotNull()
+    trust = F.when(out, "rejected").when(F.col("role_hint") == "unknown", "weak").otherwise("medium")
+    return _signal(rows, _key("tag", "media_id", "tag_id"), "source_tag_observation", "raw_tag", role, trust, F.when(out, "rejected").otherwise(T.concept_status(F.col("status"))))
+
+
+def alias_candidate_signals(rows: DataFrame) -> DataFrame:
+    """Two signals, one a side, of alias candidates (alias_id, source_name, target_name, status, requires_review)."""
+    sides = F.array(*(F.struct(F.lit(side).alias("side"), F.col(f"{side}_name").alias("name")) for side in ("source", "target")))
+    both = rows.withColumn("s", F.explode(sides)).select("*", "s.side", "s.name").drop("s")
+    gone = F.coalesce(F.lower(F.trim("status")).isin(*REJECTED), F.lit(False))
+    status = F.when(gone, "rejected").when(F.coalesce("requires_review", F.lit(False)), "needs_review").otherwise(T.concept_status(F.col("status")))
+    return _signal(both, _key("alias", "alias_id", "side"), "source_alias_candidate", "name", F.lit("unknown"), F.when(gone, "rejected").otherwise("medium"), status)
+
+
+def extracted_candidate_signals(rows: DataFrame) -> DataFrame:
+    """Signals of extracted candidates (id, record_id, value, candidate_role, candidate_status, origin, active)."""
+    role = T.mapped(F.lower("candidate_role"), T.SOURCE_ROLES, "unknown")
+    stated = T.concept_status(F.col("candidate_status"))
+    gone = (stated == "rejected") | ~F.coalesce("active", F.lit(False))
+    ai = F.lower(F.coalesce("origin", F.lit(""))) == "ai_model_tag"
+    unsure = F.col("role_hint").isin("source_title", "unknown")
+    trust = F.when(gone, "rejected").when(ai & (stated == "active"), "medium_ai").when(ai | unsure, "weak").otherwise("medium")
+    return _signal(rows, _key("candidate", "id"), "extracted_candidate", "value", role, trust, F.when(gone, "rejected").when(ai | unsure, "needs_review").otherwise(stated))
+
+
+def cached_field_signals(rows: DataFrame) -> DataFrame:
+    """Signals of the structured fields in cached provider answers (query, then the fields of FIELDS); all are for review."""
+    specs = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("value"), F.lit(r).alias("role")) for f, r, _, _ in FIELDS))
+    long = rows.select("query", F.explode(specs).alias("x")).select("query", "x.*").distinct()
+    key = F.concat_ws(":", F.lit("cache"), "query", "field", F.substring(F.sha2("value", 256), 1, 32))
+    return _signal(long, key, "provider_structured_field", "value", F.col("role"), F.when(F.col("role_hint") == "source_title", "weak").otherwise("medium"), F.lit("needs_review"))
+
+
+def more_signals(lib: Library) -> dict[str, DataFrame]:
+    """The five other sources over the library's tables: names and aliases from signals and translations, source tags from imported edges, candidates from assertions, cached answers from records."""
+    seen = lib.raw("signals").filter("origin_type = 'source_name_observation'")
+    names = seen.select("id", "media_id", F.col("source_metadata_record_id").alias("record_id"), F.col("raw_value").alias("raw_name"), F.col("role_hint").alias("name_role"), (F.col("confidence") < 0.3).alias("requires_review"), "status")
+    tags = lib.edges.filter("source = 'booru_import'").select("media_id", "tag_id").join(lib.tags.select(F.col("id").alias("tag_id"), F.col("name").alias("raw_tag"), "category"), "tag_id").withColumn("status", F.lit("observed"))
+    aliases = lib.tag_translations.select(F.col("display_name").alias("alias_id"), F.col("display_name").alias("source_name"), F.col("canonical_name").alias("target_name"), "status", F.col("needs_review").alias("requires_review"))
+    found = lib.raw("source_assertions").select("id", F.col("source_metadata_record_id").alias("record_id"), F.coalesce("asserted_name", "raw_input").alias("value"), F.col("asserted_role").alias("candidate_role"), F.col("status").alias("candidate_status"), F.col("provider").alias("origin"), (F.col("status") != "superseded").alias("active"))
+    cached = lib.raw("source_metadata_records").filter("source_work_id is not null").select(F.concat_ws("/", "provider", "source_work_id").alias("query"), "artist_name", "title")
+    return {
+        "name_observations": name_observation_signals(names), "tag_observations": tag_observation_signals(tags), "alias_candidates": alias_candidate_signals(aliases),
+        "extracted_candidates": extracted_candidate_signals(found), "cached_fields": cached_field_signals(cached),
+    }
+
+
+def all_signals(lib: Library) -> DataFrame:
+    """Signals of all eight sources."""
+    from functools import reduce
+
+    return reduce(DataFrame.unionByName, more_signals(lib).values(), signals_of(lib).select(*SIGNAL))
+
+
 def clashing_keys(signals: DataFrame) -> DataFrame:
     """Signal keys that stand for different payloads; a build with any is an error."""
     return signals.groupBy("signal_key").agg(F.count_distinct(F.struct("origin_type", "raw_value", "role_hint")).alias("n")).filter("n > 1")

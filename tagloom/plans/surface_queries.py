@@ -12,7 +12,7 @@ from tagloom.functions import text as T
 from tagloom.operators import evidence as V, resolve as R, soft_search as S
 from tagloom.plans import search as P, search_language as L
 from tagloom.plans.evidence_queries import _K7, _UNIT
-from tagloom.plans.function_queries import _COUNTED, _usual, key_sql
+from tagloom.plans.function_queries import _COUNTED, _case, _usual, key_sql
 from tagloom.plans.registry import registry
 from tagloom.session import shared_dir
 from tagloom.sources import exchange as X
@@ -152,6 +152,43 @@ def _(lib):
     return V.clashing_keys(rows.unionByName(again))
 
 
+_ROLE = _case("lower({})", T.SOURCE_ROLES, "'unknown'")
+_STATUS = _case("lower({})", T.CONCEPT_STATUS, "'{}'")
+_PAREN = r"(regexp_extract({0}, '^(.+?)_?\(([^()]+)\)$', 2) <> '')"
+_HASH = "substr(sha256(value), 1, 32)"
+_MADE = {
+    "name_observations": f"""select 'name:' || id as signal_key, 'source_name_observation' as origin_type, media_id, record_id, raw_value, role_hint, case when role_hint in ('unknown', 'source_title') then 'weak' when status = 'rejected' then 'rejected' else 'medium' end as trust_tier, status from (
+      select *, case when role_hint in ('unknown', 'source_title') or coalesce(low, false) then 'needs_review' else stated end as status from (select id, media_id, source_metadata_record_id as record_id, raw_value, {_ROLE.format('role_hint')} as role_hint, confidence < 0.3 as low, {_STATUS.format('status', 'active')} as stated from signals where origin_type = 'source_name_observation' and trim(raw_value, ' ') <> ''))""",
+    "tag_observations": f"""select 'tag:' || media_id || ':' || tag_id as signal_key, 'source_tag_observation' as origin_type, media_id, null::bigint as record_id, name as raw_value, case when stated = 'unknown' and b then 'character' else stated end as role_hint,
+      case when o then 'rejected' when stated = 'unknown' and not b then 'weak' else 'medium' end as trust_tier, case when o then 'rejected' else 'active' end as status from (select *, (c in ({", ".join(f"'{x}'" for x in V.PLAIN_CATEGORIES)}) and stated = 'unknown' and not b) or regexp_matches({_usual('name')}, '(?i){_COUNTED}') as o from (
+      select media_id, tag_id, name, lower(coalesce(trim(category), '')) as c, {_case("lower(coalesce(trim(category), ''))", T.SOURCE_TAG_CATEGORY_ROLES, "'unknown'")} as stated, {_PAREN.format('name')} as b from e join t on t.id = tag_id where e.source = 'booru_import'))""",
+    "alias_candidates": f"""select 'alias:' || display_name || ':' || side as signal_key, 'source_alias_candidate' as origin_type, null::bigint as media_id, null::bigint as record_id, name as raw_value, 'unknown' as role_hint, case when gone then 'rejected' else 'medium' end as trust_tier, case when gone then 'rejected' when needs_review then 'needs_review' else stated end as status from (
+      select display_name, side, case side when 'source' then display_name else canonical_name end as name, status in ({", ".join(f"'{x}'" for x in V.REJECTED)}) as gone, needs_review, {_STATUS.format('status', 'needs_review')} as stated from tag_translations, (values ('source'), ('target')) v(side))""",
+    "extracted_candidates": f"""select 'candidate:' || id as signal_key, 'extracted_candidate' as origin_type, null::bigint as media_id, record_id, value as raw_value, role_hint, case when gone then 'rejected' when ai and stated = 'active' then 'medium_ai' when ai or unsure then 'weak' else 'medium' end as trust_tier, case when gone then 'rejected' when ai or unsure then 'needs_review' else stated end as status from (
+      select *, stated = 'rejected' or coalesce(status, '') in ('', 'superseded') as gone, coalesce(lower(provider), '') = 'ai_model_tag' as ai, role_hint in ('source_title', 'unknown') as unsure from (select id, source_metadata_record_id as record_id, coalesce(asserted_name, raw_input) as value, {_ROLE.format('asserted_role')} as role_hint, status, provider, {_STATUS.format('status', 'needs_review')} as stated from source_assertions) where trim(value, ' ') <> '')""",
+    "cached_fields": f"""select distinct 'cache:' || concat_ws('/', provider, source_work_id) || ':' || field || ':' || {_HASH} as signal_key, 'provider_structured_field' as origin_type, null::bigint as media_id, null::bigint as record_id, value as raw_value, role as role_hint, case role when 'source_title' then 'weak' else 'medium' end as trust_tier, 'needs_review' as status from (
+      select provider, source_work_id, 'artist_name' as field, artist_name as value, 'artist' as role from source_metadata_records union all select provider, source_work_id, 'title', title, 'source_title' from source_metadata_records) where source_work_id is not null and trim(value, ' ') <> ''""",
+}
+
+
+def _source_of_signals(name: str) -> None:
+    @query(f"k07_{name}", _MADE[name])
+    def run(lib):
+        return V.more_signals(lib)[name]
+
+    QUERIES[f"k07_{name}"].__doc__ = f"Signals from {name.replace('_', ' ')}."
+
+
+for _name in _MADE:
+    _source_of_signals(_name)
+
+
+@query("k07_all_sources", f"select origin_type, trust_tier, status, count(*) as n from (select origin_type, trust_tier, case when regexp_matches({_usual('raw_value')}, '(?i){_COUNTED}') then 'rejected' else status end as status from k7 {''.join(f' union all select origin_type, trust_tier, status from ({sql})' for sql in _MADE.values())}) group by 1, 2, 3", _K7)
+def _(lib):
+    """Signals of all eight sources, counted by origin, trust and state."""
+    return V.all_signals(lib).groupBy("origin_type", "trust_tier", "status").agg(F.count("*").alias("n"))
+
+
 _SIGNALS = "id bigint, signal_key string, origin_type string, provider string, media_id bigint, source_metadata_record_id bigint, raw_value string, display_value string, normalized_key string, role_hint string, work_context_key string, trust_tier string, confidence double, status string, created_at timestamp"
 
 

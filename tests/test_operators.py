@@ -333,3 +333,24 @@ def test_streaming_late_rows_are_dropped(spark, tmp_path):
     stream = stream.withColumn("ts", F.col("ts").cast("timestamp"))
     got = st.run_available(st.windowed_counts(stream, "1 hour", late="1 hour"), "late")
     assert sorted(r["n"] for r in got.collect()) == [1, 2]  # event 3 came after its window was closed
+
+
+# Signal sources
+
+
+def test_k07_sources_by_hand(spark):
+    names = spark.createDataFrame([(1, 5, 6, "Ann", "artist", False, "observed"), (2, 5, 6, "Ann", "artist", True, "observed"), (3, 5, 6, "Ann", "artist", False, "blocked"), (4, 5, 6, "Ann", None, False, "blocked"), (5, 5, 6, " ", "artist", False, None), (6, 5, 6, "Bo", "creator", None, None)], "id long, media_id long, record_id long, raw_name string, name_role string, requires_review boolean, status string")
+    got = {r["signal_key"]: (r["role_hint"], r["trust_tier"], r["status"]) for r in evidence.name_observation_signals(names).collect()}
+    assert got == {"name:1": ("artist", "medium", "active"), "name:2": ("artist", "medium", "needs_review"), "name:3": ("artist", "rejected", "rejected"), "name:4": ("unknown", "weak", "needs_review"), "name:6": ("artist", "medium", "active")}
+    tags = spark.createDataFrame([(1, 1, "sky", "general", "observed"), (1, 2, "ann_(work)", "general", "observed"), (1, 3, "bo", "4", None), (1, 4, "x500users入り", "artist", "observed"), (1, 5, "odd", "other", "observed"), (1, 6, "y", None, "observed")], "media_id long, tag_id long, raw_tag string, category string, status string")
+    got = {r["signal_key"]: (r["role_hint"], r["trust_tier"], r["status"]) for r in evidence.tag_observation_signals(tags).collect()}
+    assert got == {
+        "tag:1:1": ("unknown", "rejected", "rejected"), "tag:1:2": ("character", "medium", "active"), "tag:1:3": ("character", "medium", "needs_review"), "tag:1:4": ("artist", "rejected", "rejected"),
+        "tag:1:5": ("unknown", "weak", "active"), "tag:1:6": ("unknown", "rejected", "rejected"),
+    }
+    aliases = spark.createDataFrame([("a", "Ann", "Anna", "superseded", True), ("b", "Bo", "Bob", "accepted", False), ("c", "Cy", "", None, True)], "alias_id string, source_name string, target_name string, status string, requires_review boolean")
+    got = {r["signal_key"]: (r["trust_tier"], r["status"]) for r in evidence.alias_candidate_signals(aliases).collect()}
+    assert got == {"alias:a:source": ("rejected", "rejected"), "alias:a:target": ("rejected", "rejected"), "alias:b:source": ("medium", "active"), "alias:b:target": ("medium", "active"), "alias:c:source": ("medium", "needs_review")}
+    found = spark.createDataFrame([(1, 1, "Ann", "artist", "accepted", "x", True), (2, 1, "Ann", "artist", "accepted", "ai_model_tag", True), (3, 1, "Ann", "artist", "pending", "ai_model_tag", True), (4, 1, "Ann", "title", "accepted", None, True), (5, 1, "Ann", "artist", "accepted", "x", None)], "id long, record_id long, value string, candidate_role string, candidate_status string, origin string, active boolean")
+    got = {r["signal_key"]: (r["trust_tier"], r["status"]) for r in evidence.extracted_candidate_signals(found).collect()}
+    assert got == {"candidate:1": ("medium", "active"), "candidate:2": ("medium_ai", "needs_review"), "candidate:3": ("weak", "needs_review"), "candidate:4": ("weak", "needs_review"), "candidate:5": ("rejected", "rejected")}
