@@ -209,7 +209,7 @@ def _block_pairs(s: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
     """((block, l_id, r_id, across) of the pairs that each block compares, (block, n) of its signals)."""
     keys = blocks(s)
     sizes = keys.groupBy("block").agg(F.count("*").alias("n")).filter("n > 1")
-    sized = keys.join(sizes, "block")
+    sized = salted_join(keys, sizes.withColumn("n_rows", F.col("n")), "block", "id")  # blocks of a hot record or medium are split
     small = sized.filter(F.col("n") <= block).select("block", "id")
     pairs = small.alias("a").join(small.alias("b"), "block").filter("a.id < b.id").select("block", F.col("a.id").alias("l_id"), F.col("b.id").alias("r_id"))
     kind = F.substring_index("block", ":", 1)
@@ -273,6 +273,17 @@ def _greedy(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["id", "group_id"])
 
 
+def component_sizes(e: DataFrame) -> DataFrame:
+    """(root, n_signals, n_edges, n_blocked) of each component of materializing edges; those with blocked pairs are what one task of the greedy union holds."""
+    merge = e.filter("union_allowed and status = 'active' and negative is null").select("l_id", "r_id").distinct()
+    roots = Scratch(e.sparkSession, "sizes").put(graph.components(merge.select(F.col("l_id").alias("a"), F.col("r_id").alias("b"))))
+    signals = roots.groupBy("root").agg(F.count("*").alias("n_signals"))
+    edges_in = merge.join(roots.select(F.col("node").alias("l_id"), "root"), "l_id").groupBy("root").agg(F.count("*").alias("n_edges"))
+    apart = e.filter(F.col("negative").isin(*HARD)).select("l_id", "r_id").distinct()
+    apart = apart.join(roots.select(F.col("node").alias("l_id"), "root"), "l_id").join(roots.select(F.col("node").alias("r_id"), F.col("root").alias("other")), "r_id").filter("root = other").groupBy("root").agg(F.count("*").alias("n_blocked"))
+    return signals.join(edges_in, "root", "left").join(apart, "root", "left").select("root", "n_signals", F.coalesce("n_edges", F.lit(0)).alias("n_edges"), F.coalesce("n_blocked", F.lit(0)).alias("n_blocked"))
+
+
 def constrained_groups(e: DataFrame) -> DataFrame:
     """(id, group_id) of the greedy union over materializing edges; hard negatives keep their pairs apart. The last tie-break is the pair itself."""
     scratch = Scratch(e.sparkSession, "union")

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tagloom.session import small_enough
+
 # Thresholds of the tagger, of its actions and of the classifier.
 TAG_THRESHOLD = {"general": 0.35, "character": 0.85}
 CONFIRM = {"general": 0.35, "character": 0.65}
@@ -35,6 +37,10 @@ def class_by_tags(scores: DataFrame) -> DataFrame:
     return n.select("media_id", F.when(F.col("n") >= MANY, "anime").when(F.col("n") == 0, "unknown").otherwise("undecided").alias("content_class"))
 
 
+#: Classes at most; bounds what is collected and sent along as a literal.
+MAX_CLASSES = 1_000
+
+
 def centroids(vectors: DataFrame) -> DataFrame:
     """(label, centroid): mean vector of each label, as many rows as labels."""
     each = vectors.select("label", F.posexplode("embedding").alias("i", "x"))
@@ -45,8 +51,10 @@ def centroids(vectors: DataFrame) -> DataFrame:
 def zero_shot(vectors: DataFrame, classes: DataFrame) -> DataFrame:
     """(vec_id, label, confidence): the nearest class by cosine; null within a margin too small to tell. classes: (label, centroid), a table of some rows.
 
-    The classes go along as one literal array, so there is neither a join nor a row per vector and class.
+    The classes go along as one literal array, so there is neither a join nor a row per vector and class; more than ``MAX_CLASSES`` are an error.
     """
+    if not small_enough(classes, MAX_CLASSES):
+        raise ValueError(f"more than {MAX_CLASSES} classes; class centroids are meant to be a short list")
     listed = classes.orderBy("label").collect()
     norm = lambda a: F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x * x))
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, x: s + x)

@@ -97,6 +97,13 @@ def _(lib):
     return R.resolved(lib.raw("signals"), Scratch(lib.spark, "k17"))[2]
 
 
+@query("k17_component_sizes")
+def _(lib):
+    """Components by size; the largest with blocked pairs bounds a task of the union."""
+    s = Scratch(lib.spark, "k17s").put(_ready(lib))
+    return R.component_sizes(Scratch(lib.spark, "k17e").put(R.edges(s)))
+
+
 @query("k18_concept_keys")
 def _(lib):
     s, e, g = R.resolved(lib.raw("signals"), Scratch(lib.spark, "k18"))

@@ -351,10 +351,21 @@ def _(lib):
 
 @query("c07_all_siblings", "select a.id, b.id as sibling_id from m a join m b on a.parent_id = b.parent_id and a.id < b.id")
 def _(lib):
-    """Every pair of siblings once; children meet their parent's group, which is salted where a parent is hot."""
+    """Every pair of siblings once; the children of a parent of many are split into blocks that meet pair by pair, so no task holds them all. The rows are the pairs; c07_sibling_groups grows with the media."""
     kids = lib.media.filter("parent_id is not null").select("id", "parent_id")
-    groups = kids.groupBy("parent_id").agg(F.collect_list("id").alias("siblings"), F.count("*").alias("n_rows")).filter("n_rows > 1")
-    return salted_join(kids, groups, "parent_id", "id", hot_rows=5_000).select("id", F.explode(F.filter("siblings", lambda x: x > F.col("id"))).alias("sibling_id"))
+    sizes = kids.groupBy("parent_id").agg(F.count("*").alias("n_rows")).filter("n_rows > 1").withColumn("salts", F.ceil(F.col("n_rows") / 5_000).cast("int"))
+    mine = salted_join(kids, sizes, "parent_id", "id", hot_rows=500_000)
+    left = mine.select("parent_id", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"), "id")
+    right = mine.select("parent_id", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("id").alias("sibling_id"))
+    return left.join(right, ["parent_id", "salt"]).filter("id < sibling_id").select("id", "sibling_id")
+
+
+@query("c07_sibling_groups", "select id, parent_id, (select count(*) from m b where b.parent_id = a.parent_id) - 1 as n_siblings from m a where parent_id is not null")
+def _(lib):
+    """Each medium with its group of siblings and how many others are in it."""
+    kids = lib.media.filter("parent_id is not null").select("id", "parent_id")
+    sizes = kids.groupBy("parent_id").agg(F.count("*").alias("n_rows")).withColumn("n_siblings", F.col("n_rows") - 1)
+    return salted_join(kids, sizes, "parent_id", "id").select("id", "parent_id", "n_siblings")
 
 
 @query("c09_parenthetical_names", "select b.id as base_id, p.id as tag_id from t b join t p on starts_with(p.name, b.name || '_(')")
