@@ -235,9 +235,22 @@ def candidate_pairs(s: DataFrame, block: int = BLOCK) -> DataFrame:
     return _block_pairs(s, block)[0].groupBy("l_id", "r_id").agg(F.bool_or(kind.isin("record_context", "media_context")).alias("cooccur"), F.bool_and("across").alias("across"))
 
 
+def block_pairs(s: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The candidate pairs of blocks of at most ``block`` signals alone."""
+    pairs, sizes = _block_pairs(s, block)
+    kind = F.substring_index("block", ":", 1)
+    usual = pairs.filter("not across").join(sizes.filter(F.col("n") <= block).select("block"), "block", "left_semi")
+    return usual.groupBy("l_id", "r_id").agg(F.bool_or(kind.isin("record_context", "media_context")).alias("cooccur"), F.lit(False).alias("across"))
+
+
 def edges(s: DataFrame, block: int = BLOCK) -> DataFrame:
     """(l_id, r_id, edge_type, weight, status, union_allowed, reason, negative): the best edge of each pair and type over all blocks."""
-    joined = candidate_pairs(s, block).join(_side(s, "l"), "l_id").join(_side(s, "r"), "r_id")
+    return edges_of(s, candidate_pairs(s, block))
+
+
+def edges_of(s: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The edge of each candidate pair (l_id, r_id, cooccur, across) by the first rule that holds."""
+    joined = pairs.join(_side(s, "l"), "l_id").join(_side(s, "r"), "r_id")
     found = joined.select("l_id", "r_id", "across", pair_rule(F.col("cooccur")).alias("e")).filter("e is not null").select("l_id", "r_id", "across", "e.*")
     return found.filter("not across or (status = 'active' and union_allowed)").drop("across")
 

@@ -178,7 +178,8 @@ def _(lib):
     return V.work_pages(lib.raw("source_metadata_records"))
 
 
-@query("k26_work_signals")
+@query("k26_work_signals", """select source_work_id, state, min(artist_name) as raw_value, count(distinct media_id) as media, case state when 'consistent' then 'active' else 'needs_review' end as status from source_metadata_records r join (select source_work_id, case when titles > 1 then 'title_conflict' when media = 0 then 'no_media' when last_page + 1 > pages then 'pages_missing' else 'consistent' end as state from
+  (select source_work_id, count(distinct source_page_index) as pages, count(distinct title) as titles, count(distinct artist_name) as artists, count(distinct media_id) as media, max(source_page_index) as last_page from source_metadata_records where source_work_id is not null and status <> 'rejected' group by 1) where artists = 1) using (source_work_id) where artist_name is not null and r.status <> 'rejected' and state <> 'no_media' group by 1, 2""")
 def _(lib):
     r = lib.raw("source_metadata_records")
     return V.work_signals(r, V.work_pages(r))

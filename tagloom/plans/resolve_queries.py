@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tagloom.library import oracle
 from tagloom.operators import resolve as R
 from tagloom.plans.function_queries import family_sql, short_sql
 from tagloom.plans.registry import registry
@@ -86,6 +87,50 @@ def _(lib):
     return R.block_sizes(R.blocks(_ready(lib)))
 
 
+# The edges of pairs in blocks of at most 60 signals as SQL: (condition, type, weight, state, may merge, reason, what forbids), the first that holds.
+_EQ = lambda c: f"coalesce(l.{c} = r.{c}, false)"
+_ROLE_IS = lambda v: f"(l.role = '{v}' or r.role = '{v}')"
+_CHAR = lambda x: f"{x}.role in ('character', 'person')"
+_CLASH, _PARTIAL = f"(l.context is not null and r.context is not null and not {_EQ('context')})", "((l.context is null) <> (r.context is null))"
+_BOTH_AI, _BOTH_WEAK = "(l.ai and r.ai)", "(coalesce(l.trust, '') = 'weak' and coalesce(r.trust, '') = 'weak')"
+_APART = f"(not l.ai and not r.ai and coalesce(l.provider <> r.provider, false) and not {_EQ('record_id')} and not {_EQ('media_id')})"
+_SURE = f"(coalesce(l.origin_type, '') = 'manual' or coalesce(r.origin_type, '') = 'manual' or ({_APART} and (({_EQ('context')} and l.strength = 'explicit' and r.strength = 'explicit') or (l.script <> r.script and {_EQ('canonical')}))))"
+_FUZZY = f"({_EQ('surface')} and not {_EQ('context')} and ({_CHAR('l')} or {_CHAR('r')} or {_ROLE_IS('unknown')}) and (l.amb or r.amb))"
+_EXACT_PARTIAL = f"({_PARTIAL} and ({_CHAR('l')} or {_CHAR('r')}))"
+_RULES = [
+    (f"not ({_EQ('role')} or {_ROLE_IS('unknown')} or ({_CHAR('l')} and {_CHAR('r')}))", "'negative_guard'", "0.0", "'rejected'", "false", "'role_conflict_guard'", "'role_conflict'"),
+    (_ROLE_IS("source_title"), "'context_only'", "0.1", "'weak'", "false", "'source_title_context_only'", "'source_title_only_guard'"),
+    (_ROLE_IS("artist"), "'creator_identity_guard'", "0.0", "'needs_review'", "false", "'creator_identity_strong_evidence_missing'", "'creator_identity_strong_evidence_missing'"),
+    (f"{_ROLE_IS('unknown')} and not {_SURE}", "'unknown_role_review'", "0.38", "'needs_review'", "false", "'unknown_role_requires_corroboration'", "null"),
+    (f"{_CHAR('l')} and {_CHAR('r')} and {_CLASH} and ({_EQ('canonical')} or {_EQ('surface')})", "'negative_guard'", "0.0", "'rejected'", "false", "'work_context_conflict_guard'", "'work_context_conflict'"),
+    (f"{_FUZZY} and {_CLASH}", "'negative_guard'", "0.0", "'rejected'", "false", "'work_context_conflict_guard'", "'work_context_conflict'"),
+    (f"{_FUZZY} and ({_EQ('media_id')} or {_EQ('record_id')})", "'same_scope_duplicate_review'", "0.32", "'needs_review'", "true", "'ambiguous_short_same_scope_review'", "null"),
+    (f"{_FUZZY} and {_PARTIAL}", "'same_surface_context'", "0.46", "'needs_review'", "true", "'ambiguous_short_partial_work_context_review'", "null"),
+    (_FUZZY, "'negative_guard'", "0.0", "'needs_review'", "false", "'ambiguous_short_guard'", "'ambiguous_short_without_work_context'"),
+    (_EQ("anchor"), "'stable_identity_anchor'", f"case when {_BOTH_AI} then 0.48 when {_BOTH_WEAK} then 0.34 else 0.94 end", f"case when {_BOTH_AI} or {_BOTH_WEAK} then 'needs_review' else 'active' end", "true",
+     f"case when {_BOTH_AI} then 'medium_ai_identity_anchor_review' when {_BOTH_WEAK} then 'weak_identity_anchor_review' else 'stable_identity_anchor' end", "null"),
+    (f"{_EQ('surface')} and {_EQ('context')}", "'same_surface_context'", f"case when {_BOTH_AI} then 0.45 else 0.92 end", f"case when {_BOTH_AI} then 'needs_review' else 'active' end", "true", f"case when {_BOTH_AI} then 'medium_ai_same_context_review' else 'same_surface_and_work_context' end", "null"),
+    (_EQ("canonical"), "'exact_canonical_key'", f"case when {_EXACT_PARTIAL} then 0.42 when {_BOTH_AI} then 0.45 when {_BOTH_WEAK} then 0.25 else 0.86 end", f"case when {_EXACT_PARTIAL} or {_BOTH_AI} then 'needs_review' when {_BOTH_WEAK} then 'weak' else 'active' end",
+     f"not ({_BOTH_WEAK} and not {_EXACT_PARTIAL} and not {_BOTH_AI})", f"case when {_EXACT_PARTIAL} then 'exact_key_partial_context_review' when {_BOTH_AI} then 'medium_ai_exact_key_review' when {_BOTH_WEAK} then 'weak_exact_key_context_needed' else 'exact_canonical_key' end", "null"),
+    ("cooccur", "'cooccurrence_context'", "0.18", "'weak'", "false", "'cooccurrence_only_context'", "null"),
+]
+_GROUP = "case when role in ('character', 'person') then 'character_person' else role end"
+_KEYS = f"""keys as (select id, unnest(list_filter(['exact:' || {_GROUP} || ':' || canonical, case when surface <> canonical then 'surface:' || {_GROUP} || ':' || surface end, 'context:' || {_GROUP} || ':' || surface || ':work:' || context, 'identity:' || anchor,
+  case when role in ('character', 'person', 'unknown') then 'record_context:' || record_id end, case when role in ('character', 'person', 'unknown') then 'media_context:' || media_id end], lambda x: x is not null)) as block from a where coalesce(status, '') <> 'rejected' and coalesce(trust, '') <> 'rejected'),
+  usual as (select id, block from keys where block in (select block from keys group by 1 having count(*) between 2 and 60)),
+  pairs as (select x.id as l_id, y.id as r_id, bool_or(split_part(x.block, ':', 1) in ('record_context', 'media_context')) as cooccur from usual x join usual y on x.block = y.block and x.id < y.id group by 1, 2)"""
+_EDGES = "edges as (select l_id, r_id, {} from pairs join a l on l.id = l_id join a r on r.id = r_id)".format(
+    ", ".join(f"case {' '.join(f'when {rule[0]} then {rule[i]}' for rule in _RULES)} end as {name}" for i, name in enumerate(("edge_type", "weight", "status", "union_allowed", "reason", "negative"), 1))
+)
+
+
+@query("k16_edges_in_blocks", "select l_id, r_id, edge_type, cast(weight as double) as weight, status, union_allowed, reason, negative from edges where edge_type is not null", *_ALL, _KEYS, _EDGES)
+def _(lib):
+    """The edges of pairs that meet in a block of at most 60 signals; larger blocks have stars instead of pairs, which k16_edges has too."""
+    s = Scratch(lib.spark, "k16b").put(_ready(lib))
+    return R.edges_of(s, R.block_pairs(s))
+
+
 @query("k16_edges")
 def _(lib):
     """Every pair's edge by the first rule that holds (K15 over the blocks of K16)."""
@@ -162,3 +207,43 @@ def _(lib):
     scratch = Scratch(lib.spark, "d32")
     s, e, g = R.resolved(lib.raw("signals"), scratch)
     return R.pair_accounting(R.candidate_pairs(s), R.dispositions(e, g)).crossJoin(R.oversized(s))
+
+
+# Oracles of what follows from the union. SQL takes connected components for groups, which is the same as long as no component holds a blocked pair and no block is larger
+# than 60; k17_component_sizes and d32_pair_accounting report both.
+_HARD = ", ".join(f"'{x}'" for x in R.HARD)
+_UNION = """made as (select * from edges where edge_type is not null), merged as (select l_id, r_id, weight, reason from made where union_allowed and status = 'active' and negative is null),
+  sides as (select l_id as x, r_id as y from merged union select r_id, l_id from merged), comp(node, b) as (select x, x from sides union select comp.node, sides.y from comp join sides on sides.x = comp.b), g as (select node as id, min(b) as group_id from comp group by 1)"""
+_DISPOSED = f"""placed as (select l_id, r_id, hard, coalesce(x.group_id, l_id) as lg, coalesce(y.group_id, r_id) as rg from (select l_id, r_id, coalesce(bool_or(negative in ({_HARD})), false) as hard from made group by 1, 2) left join g x on x.id = l_id left join g y on y.id = r_id),
+  disposed as (select l_id, r_id, case when hard then 'cannot' when lg = rg then 'must' when exists (select 1 from placed q where q.hard and least(q.lg, q.rg) = least(p.lg, p.rg) and greatest(q.lg, q.rg) = greatest(p.lg, p.rg)) then 'transitive_cannot' else 'deferred' end as disposition from placed p)"""
+_SCORED = f"""scored as (select l_id, r_id, case when {_EQ('context')} and l.strength = 'explicit' and r.strength = 'explicit' then 2.5 when {_EQ('context')} then 2.0 else 0 end + case when {_EQ('media_id')} or {_EQ('record_id')} then 1.5 else 0 end
+  + case when {_EQ('canonical')} and not {_EQ('script')} then 8.0 else 0 end + case when not l.ai and not r.ai then 3.0 when l.ai and r.ai then -5.0 else 0 end + case when {_ROLE_IS('unknown')} then -2.0 else 0 end as score
+  from (select distinct l_id, r_id from made where status = 'needs_review') join a l on l.id = l_id join a r on r.id = r_id)"""
+_LINKED = (*_ALL, _KEYS, _EDGES, _UNION)
+ORACLE |= {
+    "k16_edges": oracle("select l_id, r_id, edge_type, cast(weight as double) as weight, status, union_allowed, reason, negative from edges where edge_type is not null", *_ALL, _KEYS, _EDGES),
+    "k17_groups": oracle("select id, group_id from g", *_LINKED, recursive=True),
+    "k20_links": oracle(
+        """select s.id as signal_id, coalesce(group_id, s.id) as concept, case when s.status = 'rejected' then 'rejected' when group_id is not null then 'materialized_identity' else 'active' end as link_status, reason from s left join g on g.id = s.id
+        left join (select id, reason from (select *, row_number() over (partition by id order by weight desc, reason desc) as rn from (select l_id as id, weight, reason from merged union all select r_id, weight, reason from merged)) where rn = 1) b on b.id = s.id""",
+        *_LINKED, recursive=True,
+    ),
+    "k22_dispositions": oracle("select l_id, r_id, disposition from disposed", *_LINKED, _DISPOSED, recursive=True),
+    "k23_fallback_index": oracle(
+        """select distinct key, media_id, relation from (select canonical as key, media_id, 'direct' as relation from s where media_id is not null union all
+        select x.canonical, y.media_id, case disposition when 'must' then 'must' when 'deferred' then 'deferred' else 'blocked' end from (select l_id as p, r_id as q, disposition from disposed union all select r_id, l_id, disposition from disposed) join s x on x.id = p join s y on y.id = q where y.media_id is not null and x.canonical <> y.canonical)""",
+        *_LINKED, _DISPOSED, recursive=True,
+    ),
+    "d32_pair_accounting": oracle(
+        """select cast(t as bigint) as total, cast(m as bigint) as must, cast(c as bigint) as cannot, cast(tc as bigint) as transitive_cannot, cast(d as bigint) as deferred, cast(t - m - c - tc - d as bigint) as unaccounted, cast(0 as bigint) as duplicates, cast(0 as bigint) as extra, round((m + c + tc + d) / t::double, 12) as coverage, t = m + c + tc + d as equality,
+        b as oversized_blocks, cast(0 as bigint) as oversized_pairs, cast(0 as bigint) as oversized_compared, cast(0 as bigint) as oversized_left_out from (select (select count(*) from pairs) as t, count(*) filter (disposition = 'must') as m, count(*) filter (disposition = 'cannot') as c, count(*) filter (disposition = 'transitive_cannot') as tc, count(*) filter (disposition = 'deferred') as d,
+        (select count(*) from (select block from keys group by 1 having count(*) > 60)) as b from disposed)""",
+        *_LINKED, _DISPOSED, recursive=True,
+    ),
+    "k37_review_scores": oracle("select l_id, r_id, cast(score as double) as score from scored", *_LINKED, _SCORED, recursive=True),
+    "k38_judged_edges": oracle(
+        f"""select l_id, r_id, 'llm_must_link' as edge_type, cast(0.9 as double) as weight from scored p where score >= 8 and not exists (select 1 from made where made.l_id = p.l_id and made.r_id = p.r_id and negative in ({_HARD}))
+        union all select l_id, r_id, 'llm_cannot_link', cast(0 as double) from scored where score < 0""",
+        *_LINKED, _SCORED, recursive=True,
+    ),
+}

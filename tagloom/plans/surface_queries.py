@@ -12,7 +12,7 @@ from tagloom.functions import text as T
 from tagloom.operators import evidence as V, resolve as R, soft_search as S
 from tagloom.plans import search as P, search_language as L
 from tagloom.plans.evidence_queries import _K7, _UNIT
-from tagloom.plans.function_queries import _COUNTED, _case, _usual, key_sql
+from tagloom.plans.function_queries import _COUNTED, _REASONS, _case, _usual, key_sql
 from tagloom.plans.registry import registry
 from tagloom.session import shared_dir
 from tagloom.sources import exchange as X
@@ -295,3 +295,33 @@ def _(lib):
         kept.get()
         rows.append((at, len(made)))
     return lib.spark.createDataFrame(rows, "seconds int, made int")
+
+
+_HINT = "case when regexp_matches({0}, '[A-Za-z]') then 'latin' else 'other' end"
+_K1 = " union all ".join(
+    f"select id as record_id, '{f}' as field, {f} as raw_name, {key_sql(f'trim({f})')} as name_key, '{r}' as role, cast({c} as double) as confidence, {str(v).lower()} as requires_review, {_HINT.format(f)} as script from source_metadata_records where trim({f}) <> '' and regexp_matches({f}, '^[ -~]*$')"
+    for f, r, c, v in V.FIELDS
+)
+
+
+@query("k01_ascii_names", _K1)
+def _(lib):
+    """k01 on ASCII names, which SQL can state, beside the whole table."""
+    return V.record_names(lib.raw("source_metadata_records")).filter(F.col("raw_name").rlike("^[ -~]*$"))
+
+
+@query("k04_ascii_registry", f"select name_key, list_sort(list(distinct raw_name)) as variants, count(*) as seen_count, list_sort(list(distinct role)) as roles, bool_or(requires_review) as review from ({_K1}) group by 1")
+def _(lib):
+    names = V.record_names(lib.raw("source_metadata_records")).filter(F.col("raw_name").rlike("^[ -~]*$"))
+    return names.groupBy("name_key").agg(F.sort_array(F.collect_set("raw_name")).alias("variants"), F.count("*").alias("seen_count"), F.sort_array(F.collect_set("role")).alias("roles"), F.bool_or("requires_review").alias("review"))
+
+
+_INNER = "regexp_extract(raw_input, '^(.+?)_?\\(([^()]+)\\)$', {})"
+_WHY = f"(select {_REASONS} from (select {_usual('s.raw_input')} as x))"
+
+
+@query("k43_ascii_hints", f"""select id, kind, value, confidence from (select id, case when why is not null then 'rejected' when i <> '' then 'outer' else 'name' end as kind, case when why is null and i <> '' then o else raw_input end as value, cast(case when why is not null then 0.95 when i <> '' then 0.76 else 0.78 end as double) as confidence from n
+  union all select id, 'inner', i, cast(0.72 as double) from n where why is null and i <> '')""", f"n as (select id, raw_input, {_INNER.format(2)} as i, {_INNER.format(1)} as o, {_WHY} as why from source_assertions s where regexp_matches(raw_input, '^[ -~]*$'))")
+def _(lib):
+    """k43 on ASCII texts, which hold no counters."""
+    return V.hints(lib.raw("source_assertions").filter(F.col("raw_input").rlike("^[ -~]*$")))
