@@ -42,9 +42,22 @@ def alias_relation(lib: Library) -> DataFrame:
     return keys.union(keys.select("b", "a")).distinct()
 
 
+def _relation(lib: Library) -> DataFrame:
+    return lib.prepared("alias_keys", "tags", lambda: alias_relation(lib), "a", "b")
+
+
+def _tag_keys(lib: Library) -> DataFrame:
+    return lib.prepared("tag_keys", "tags", lambda: lib.tags.select("id", T.canonical_key(F.col("name")).alias("name_key")), "name_key")
+
+
+def prepare(lib: Library) -> None:
+    """Writes the tables of keys that soft searches share, if they aren't there."""
+    _ = _relation(lib), _tag_keys(lib)
+
+
 def alias_keys(lib: Library, term: str, rounds: int = 2) -> list[str] | DataFrame:
     """Keys that the alias relation reaches from a term in at most ``rounds`` steps; a frame (key) if they are more than ``LISTED_IDS``."""
-    relation = lib.prepared("alias_keys", "tags", lambda: alias_relation(lib), "a", "b")
+    relation = _relation(lib)
     own = term_key(term)
     found, last = {own}, [own]
     for _ in range(rounds):
@@ -66,7 +79,7 @@ def by_aliases(lib: Library, term: str, review: bool = False, rounds: int = 2) -
         named = lambda df, column: df.filter(column.isin(keys))
     else:
         named = lambda df, column: df.join(keys, column == keys["key"], "left_semi")
-    tags = named(lib.prepared("tag_keys", "tags", lambda: lib.tags.select("id", T.canonical_key(F.col("name")).alias("name_key")), "name_key"), F.col("name_key")).select(F.col("id").alias("tag_id"))
+    tags = named(_tag_keys(lib), F.col("name_key")).select(F.col("id").alias("tag_id"))
     said = named(_assertions(lib, review), F.col("canonical_name_key")).select("source_metadata_record_id")
     return lib.edges_in(tags).filter("not is_suggestion").select("media_id").union(said.join(_records(lib), "source_metadata_record_id").select("media_id"))
 
