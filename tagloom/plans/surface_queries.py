@@ -325,3 +325,44 @@ _WHY = f"(select {_REASONS} from (select {_usual('s.raw_input')} as x))"
 def _(lib):
     """k43 on ASCII texts, which hold no counters."""
     return V.hints(lib.raw("source_assertions").filter(F.col("raw_input").rlike("^[ -~]*$")))
+
+
+def _saved_pages(lib, dialect: str):
+    """Media as a site would answer for them, saved as JSON lines and read back."""
+    from tagloom.session import Scratch
+    from tagloom.sources import posts
+
+    found = P.posts(P.select(lib, L.parse("rating:q"), _NOW), lib)
+    if dialect == "categorised":
+        answers = found.select("id", F.substring("rating", 1, 1).alias("rating"), "source", F.concat(F.lit("https://a.b/data/"), "filename").alias("file_url"), F.col("width").alias("image_width"), *[f"tag_string_{c}" for c in posts.CATEGORIES])
+    else:
+        answers = found.select("id", "rating", "source", F.col("filename").alias("image"), "width", F.col("tag_string").alias("tags"))
+    path = f"{Scratch(lib.spark, 'a16').root}/{dialect}"
+    answers.write.mode("overwrite").json(path)
+    out = posts.read_posts(lib.spark, path, dialect, "https://a.b/")
+    return out.select("id", "rating", "source", "file_url", "filename", F.col("width").cast("bigint").alias("width"), F.size("tags").alias("n_tags"), F.size(F.filter("tags", lambda t: t["category"] == "artist")).alias("n_artists"))
+
+
+_SAVED = """select m.id, rating, coalesce(source, '') as source, 'https://a.b/{}' || filename as file_url, filename, cast(coalesce(width, 0) as bigint) as width, cast(coalesce(n, 0) as int) as n_tags, cast(coalesce({}, 0) as int) as n_artists
+  from m left join (select media_id, count(*) filter ({}) as n, count(*) filter (category = 'artist') as a from e join t on t.id = tag_id group by 1) c on c.media_id = m.id where rating = 'questionable'"""
+
+
+@query("a16_categorised_pages", _SAVED.format("data/", "a", "category in ('general', 'artist', 'character', 'copyright', 'meta')"))
+def _(lib):
+    return _saved_pages(lib, "categorised")
+
+
+@query("a16_plain_pages", _SAVED.format("", "0", "true"))
+def _(lib):
+    return _saved_pages(lib, "plain")
+
+
+_ADDRESSES = [("https://a.b/posts/12?q=x", "categorised", 12), ("https://a.b/index.php?page=post&s=view&id=7", "plain", 7), ("https://a.b/INDEX.php?s=view&id=8&page=post", "plain", 8), ("https://a.b/index.php?page=post&s=list", None, None), ("https://a.b/posts/x", None, None), ("no address", None, None)]
+
+
+@query("a16_post_addresses", _values("url, dialect, id", _ADDRESSES))
+def _(lib):
+    from tagloom.sources.posts import post_address
+
+    df = lib.spark.createDataFrame([(u,) for u, _, _ in _ADDRESSES], "url string").withColumn("p", post_address(F.col("url")))
+    return df.select("url", "p.dialect", "p.id")

@@ -354,3 +354,22 @@ def test_k07_sources_by_hand(spark):
     found = spark.createDataFrame([(1, 1, "Ann", "artist", "accepted", "x", True), (2, 1, "Ann", "artist", "accepted", "ai_model_tag", True), (3, 1, "Ann", "artist", "pending", "ai_model_tag", True), (4, 1, "Ann", "title", "accepted", None, True), (5, 1, "Ann", "artist", "accepted", "x", None)], "id long, record_id long, value string, candidate_role string, candidate_status string, origin string, active boolean")
     got = {r["signal_key"]: (r["trust_tier"], r["status"]) for r in evidence.extracted_candidate_signals(found).collect()}
     assert got == {"candidate:1": ("medium", "active"), "candidate:2": ("medium_ai", "needs_review"), "candidate:3": ("weak", "needs_review"), "candidate:4": ("weak", "needs_review"), "candidate:5": ("rejected", "rejected")}
+
+
+def test_a16_saved_pages(spark, tmp_path):
+    from tagloom.sources import posts
+
+    (tmp_path / "c.json").write_text(
+        '{"id":1,"rating":"G","md5":"ab","file_ext":"png","large_file_url":"https://x/y/z.png","tag_string_artist":" ann  bo ","tag_string_general":"sky","score":3,"extra":1}\n'
+        '{"id":2,"rating":null,"tag_string":"old style","file_url":"https://x/y/z.png?q=1"}\n{"id":3,"rating":"?","source":""}\nnot json\n{"rating":"e"}\n'
+    )
+    got = {r["id"]: r for r in posts.read_posts(spark, str(tmp_path / "c.json"), "categorised", "https://x").collect()}
+    assert set(got) == {1, 2, 3} and [(t["name"], t["category"]) for t in got[1]["tags"]] == [("sky", "general"), ("ann", "artist"), ("bo", "artist")]
+    assert (got[1]["filename"], got[1]["file_url"], got[1]["rating"], got[1]["score"]) == ("ab.png", "https://x/y/z.png", "safe", 3)
+    assert (got[2]["filename"], len(got[2]["tags"]), got[2]["rating"]) == ("z.png", 2, "safe") and (got[3]["filename"], got[3]["tags"], got[3]["source"], got[3]["width"]) == ("booru_3", [], "", 0)
+    (tmp_path / "p.json").write_text('{"id":1,"rating":"E","image":"a.png","file_url":"/img/b.png","preview_url":"t/c.png","tags":"sky ann","width":5}\n{"id":2,"file_url":"https://y/d.png"}\n{"id":3}\n')
+    got = {r["id"]: r for r in posts.read_posts(spark, str(tmp_path / "p.json"), "plain", "https://x/").collect()}
+    assert (got[1]["filename"], got[1]["file_url"], got[1]["preview_url"], got[1]["rating"], got[1]["width"]) == ("a.png", "https://x/img/b.png", "https://x/t/c.png", "explicit", 5)
+    assert got[2]["filename"] == "d.png" and got[3]["filename"] == "gelbooru_3" and got[3]["file_url"] is None
+    with pytest.raises(ValueError):
+        posts.read_posts(spark, str(tmp_path / "p.json"), "other", "https://x")
