@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import functions as F
 
 from tagloom.functions import text as T
@@ -9,14 +11,14 @@ from tagloom.plans.registry import registry
 
 QUERIES, ORACLE, query = registry()
 
-# For the oracle, which has no NFKC: full-width marks, letters and digits and all gaps in their usual form, gaps collapsed.
-_WIDE = "".join(chr(c) for c in (*range(0xFF01, 0xFF5F), 0x3000, 0xA0, *range(0x2000, 0x200B), 0x202F, 0x205F))
-_USUAL = "".join(chr(c) for c in range(0x21, 0x7F)) + " " * (len(_WIDE) - 94)
+# For the oracle, which has NFC but no NFKC: full-width marks, letters and digits, half-width kana and all gaps in their usual form, gaps collapsed.
+_WIDE = "".join(chr(c) for c in (*range(0xFF01, 0xFF5F), *range(0xFF61, 0xFFA0), 0x3000, 0xA0, *range(0x2000, 0x200B), 0x202F, 0x205F))
+_USUAL = "".join(unicodedata.normalize("NFKC", c) for c in _WIDE)
 
 
 def _usual(x: str) -> str:
     named = [text.replace("'", "''") for text in (_WIDE, _USUAL)]
-    return f"trim(regexp_replace(translate({x}, '{named[0]}', '{named[1]}'), '\\s+', ' ', 'g'))"
+    return f"trim(regexp_replace(nfc_normalize(translate({x}, '{named[0]}', '{named[1]}')), '\\s+', ' ', 'g'))"
 
 
 def key_sql(x: str) -> str:
@@ -34,12 +36,12 @@ def short_sql(x: str) -> str:
     return f"coalesce(length(trim({x}, '_')) <= 3 or (length(trim({x}, '_')) <= 7 and not contains(trim({x}, '_'), '_')), true)"
 
 
-@query("h01_normalized_text")
+@query("h01_normalized_text", f"select id, {_usual('raw_input')} as text from source_assertions")
 def _(lib):
     return lib.raw("source_assertions").select("id", T.normalize(F.col("raw_input")).alias("text"))
 
 
-@query("h02_canonical_keys")
+@query("h02_canonical_keys", f"select id, {key_sql(_usual('raw_input'))} as name_key from source_assertions")
 def _(lib):
     return lib.raw("source_assertions").select("id", T.canonical_key(F.col("raw_input")).alias("name_key"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tagloom.library import oracle
 from tagloom.operators import resolve as R
-from tagloom.plans.function_queries import family_sql, short_sql
+from tagloom.plans.function_queries import _usual, family_sql, key_sql, short_sql
 from tagloom.plans.registry import registry
 from tagloom.session import Scratch
 
@@ -247,3 +247,23 @@ ORACLE |= {
         *_LINKED, _SCORED, recursive=True,
     ),
 }
+_WEIGHT = f"cast(case trust {' '.join(f"when '{k}' then {v}" for k, v in R.TRUST.items())} else 0 end as double)"
+_CONCEPTS = f"""member as (select s.*, coalesce(group_id, s.id) as concept, {_WEIGHT} as tw, coalesce(r.display_value, '') as display, case when role in ('character', 'person') then 'character_person' else role end as rg from s join signals r on r.id = s.id left join g on g.id = s.id),
+  ties as (select x.group_id as concept, bool_or(status = 'active') as active_edge, bool_or(ends_with(reason, 'review')) as review_edge, bool_or(negative is not null) as guarded from made join g x on x.id = l_id join g y on y.id = r_id where x.group_id = y.group_id group by 1),
+  sums as (select concept, count(*) as signals, count(distinct media_id) as media, count(distinct provider) as providers, bool_and(ai) as all_ai, bool_and(origin_type = 'source_alias_candidate') as all_alias, bool_and(trust = 'weak' or role = 'source_title') as all_weak, coalesce(bool_or(trust = 'strong' and not ai), false) as strong,
+    coalesce(bool_or(trust = 'medium'), false) as medium, count(*) filter (not ai and origin_type <> 'source_alias_candidate') as plain, bool_or(ai) as some_ai, count(distinct rg) as role_groups, max(confidence) as best, round(sum(tw), 4) as evidence from member group by 1),
+  shown as (select concept, display as name from (select *, row_number() over (partition by concept order by tw desc, confidence desc, length(display), id desc) as rn from member) where rn = 1),
+  roles as (select concept, role from (select concept, role, row_number() over (partition by concept order by count(*) desc, role) as rn from member group by 1, 2) where rn = 1),
+  stated as (select *, case when role_groups > 1 or coalesce(guarded, false) or coalesce(review_edge, false) or all_ai or all_alias or coalesce(all_weak, false) then 'needs_review' when strong or (medium and (coalesce(active_edge, false) or plain >= 2)) or (some_ai and plain >= 1 and coalesce(active_edge, false)) then 'active' else 'needs_review' end as status from sums left join ties using (concept)),
+  con as (select concept, name, role, status, round(case when all_ai then least(0.59, best) when status <> 'active' then least(0.74, best) else best end, 4) as confidence, evidence, signals, media, providers from stated join shown using (concept) join roles using (concept))"""
+ORACLE |= {
+    "k18_concept_keys": oracle(
+        f"select concept, case when n > 1 then base || '#' || n else base end as concept_key from (select concept, base, row_number() over (partition by base order by concept) as n from (select concept, role || ':' || {key_sql(_usual('name'))} as base from con))", *_LINKED, _CONCEPTS, recursive=True
+    ),
+    "k19_concepts": oracle("select concept, name, role, status, confidence, evidence, signals, media, providers from con", *_LINKED, _CONCEPTS, recursive=True),
+    "k21_reviews": oracle(
+        """select 'blocked_pair_inside' as kind, cast(0 as bigint) as n union all select 'merge_candidate', count(*) from disposed where disposition = 'deferred' union all select 'ai_or_weak_only', count(*) from con where confidence <= 0.59 and status = 'needs_review'
+        union all select 'fragmented_name', count(*) from (select role, name from con group by 1, 2 having count(*) > 1) union all select 'large_group', count(*) from con where signals > 60""",
+        *_LINKED, _DISPOSED, _CONCEPTS, recursive=True,
+    ),
+}

@@ -366,3 +366,25 @@ def _(lib):
 
     df = lib.spark.createDataFrame([(u,) for u, _, _ in _ADDRESSES], "url string").withColumn("p", post_address(F.col("url")))
     return df.select("url", "p.dialect", "p.id")
+
+
+# SQL of whole tables for queries of other modules that need Unicode's normal forms or the rules above.
+_HINTS = "case when regexp_matches({0}, '[぀-ヿ]') then 'kana' when regexp_matches({0}, '[가-힯]') then 'hangul' when regexp_matches({0}, '[一-鿿]') and regexp_matches({0}, '[A-Za-z]') then 'cjk+latin' when regexp_matches({0}, '[一-鿿]') then 'cjk' when regexp_matches({0}, '[A-Za-z]') then 'latin' else 'other' end"
+_K1_ALL = " union all ".join(
+    f"select id as record_id, '{f}' as field, {f} as raw_name, {key_sql(_usual(f))} as name_key, '{r}' as role, cast({c} as double) as confidence, {str(v).lower()} as requires_review, {_HINTS.format(f)} as script from source_metadata_records where trim({f}, ' ') <> ''" for f, r, c, v in V.FIELDS
+)
+_UNIT_ALL = f"coalesce(nullif(trim(regexp_extract({_usual('raw_input')}, '(?i){_COUNTED}', 1)), ''), lower(trim(raw_input, ' ')))"
+_UNITS = f"units as (select {_UNIT_ALL} as unit, provider, asserted_role as role, count(*) as occurrences, count(*) - 1 as calls_avoided, min(id) as first_id from source_assertions where raw_input is not null group by 1, 2, 3)"
+_PARTS = f"parts as (select id, raw_input, {_INNER.format(2)} as i, {_INNER.format(1)} as o, trim(regexp_extract({_usual('raw_input')}, '(?i){_COUNTED}', 1)) as p, {_WHY} as why from source_assertions s)"
+_HINTED = """hinted as (select id, 'popularity_prefix' as kind, p as value, cast(0.98 as double) as confidence from parts where p <> '' union all select id, 'rejected', raw_input, 0.95 from parts where why is not null
+  union all select id, 'outer', o, 0.76 from parts where why is null and i <> '' union all select id, 'inner', i, 0.72 from parts where why is null and i <> '' union all select id, 'name', raw_input, 0.78 from parts where why is null and coalesce(i, '') = '')"""
+ORACLE |= {
+    "h18_entity_keys": f"select id, replace(lower({_usual('primary_display_name')}), ' ', '_') as entity_key from concepts",
+    "k01_record_names": _K1_ALL,
+    "k04_registry_bundle": f"select name_key, list_sort(list(distinct raw_name)) as variants, count(*) as seen_count, list_sort(list(distinct role)) as roles, bool_or(requires_review) as review from ({_K1_ALL}) group by 1",
+    "k06_candidates": f"""with {_UNITS}, {_PARTS}, {_HINTED} select a.id as assertion_id, a.source_metadata_record_id as record_id, u.unit, u.provider, u.role, h.kind, h.value, h.confidence, occurrences from (select *, {_UNIT_ALL} as unit from source_assertions where raw_input is not null) a
+      join units u on u.unit = a.unit and u.provider is not distinct from a.provider and u.role is not distinct from a.asserted_role join hinted h on h.id = u.first_id""",
+    "k43_hints": f"with {_PARTS}, {_HINTED} select id, kind, value, confidence from hinted",
+    "k44_all_units": f"with {_UNITS} select * from units",
+    "k46_all_summary": f"with {_UNITS} select role, count(*) as units, cast(sum(occurrences) as bigint) as occurrences, cast(sum(calls_avoided) as bigint) as calls_avoided, round(avg(occurrences), 4) as mean from units group by 1",
+}
