@@ -11,13 +11,15 @@ from tagloom.plans.registry import registry
 
 QUERIES, ORACLE, query = registry()
 
-# For the oracle, which has NFC but no NFKC: full-width marks, letters and digits, half-width kana and all gaps in their usual form, gaps collapsed.
+# For the oracle, which has NFC but no NFKC: full-width marks, letters and digits, half-width kana, ligatures and all gaps in their usual form, gaps collapsed.
 _WIDE = "".join(chr(c) for c in (*range(0xFF01, 0xFF5F), *range(0xFF61, 0xFFA0), 0x3000, 0xA0, *range(0x2000, 0x200B), 0x202F, 0x205F))
 _USUAL = "".join(unicodedata.normalize("NFKC", c) for c in _WIDE)
 
 
 def _usual(x: str) -> str:
     named = [text.replace("'", "''") for text in (_WIDE, _USUAL)]
+    for ligature in "ﬀﬁﬂﬃﬄﬅﬆ":
+        x = f"replace({x}, '{ligature}', '{unicodedata.normalize('NFKC', ligature)}')"
     return f"trim(regexp_replace(nfc_normalize(translate({x}, '{named[0]}', '{named[1]}')), '\\s+', ' ', 'g'))"
 
 
