@@ -148,7 +148,7 @@ def _(lib):
     return V.name_index(names, pairs)
 
 
-@query("k05_all_name_index")
+@query("k05_all_name_index", "select distinct canonical_name_key as search_key, canonical_name_key as name_key, 'own' as via from source_assertions where canonical_name_key <> '' union select x, y, 'alias' from (select alias_name as x, name as y from tag_aliases join t on t.id = target_tag_id union all select name, alias_name from tag_aliases join t on t.id = target_tag_id) where y in (select canonical_name_key from source_assertions where canonical_name_key <> '')")
 def _(lib):
     """The index over every alias of the tags."""
     names = lib.raw("source_assertions").filter("canonical_name_key <> ''").select(F.col("canonical_name_key").alias("name_key")).distinct()

@@ -108,12 +108,15 @@ def _(lib):
     return _expand(lib, 4)
 
 
-@query("j03_all_two_hop_aliases")
+_HOPS_ALL = "hops(s, k, h) as (select a, a, 0 from (select distinct a from sym where a is not null) union select s, b, h + 1 from hops join sym on a = k where h < {} and b is not null)"
+
+
+@query("j03_all_two_hop_aliases", "select s as start, k as key, min(h) as hops from hops group by 1, 2", _REL, _HOPS_ALL.format(2), recursive=True)
 def _(lib):
     return _expand_all(lib, 2)
 
 
-@query("j04_all_four_round_closure")
+@query("j04_all_four_round_closure", "select s as start, k as key, min(h) as hops from hops group by 1, 2", _REL, _HOPS_ALL.format(4), recursive=True)
 def _(lib):
     return _expand_all(lib, 4)
 
