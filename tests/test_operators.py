@@ -307,8 +307,9 @@ def test_a19_a20_a21_dictionary_cache_report(spark, tmp_path):
     assert rows(exchange.write_report(df, str(tmp_path / "r"), "csv")) == rows(exchange.checksum(df.orderBy(F.desc("id"))))
 
 
-def test_a18_second_store(spark):
+def test_a18_second_store(spark, tmp_path):
     """A table of another database, here Derby in memory, which Spark brings along."""
+    spark._jvm.java.lang.System.setProperty("derby.stream.error.file", str(tmp_path / "derby.log"))
     url, options = "jdbc:derby:memory:second;create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
     df = spark.createDataFrame([(1, "cat"), (2, None)], "id int, name string")
     df.write.format("jdbc").options(url=url, dbtable="tags", **options).mode("overwrite").save()
